@@ -1,0 +1,4 @@
+"""Every query of the engine by name, with the SQL that states its result where SQL can."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
