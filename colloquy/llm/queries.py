@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.llm import media, url_filters, warc
+from colloquy.llm import decontamination, language_id, media, packing, url_filters, warc
 from colloquy.llm.common import table
 
 
+def op1_language_id(spark, sf_dir):
+    return language_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark, sf_dir):
     return url_filters.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_best_fit_packing(spark, sf_dir):
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op8_warc(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
 
@@ -23,7 +32,16 @@ def op9_media_columns(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op8_warc, op9_media_columns)}
+def op10_benchmark_decontamination(spark, sf_dir):
+    found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op7_best_fit_packing, op8_warc, op9_media_columns, op10_benchmark_decontamination)}
 
 ORACLES = {
     # alias groups by a recursive walk over the declared edges
