@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontamination, language_id, media, packing, url_filters, warc
+from colloquy.llm import decontamination, language_id, media, packing, toxicity, url_filters, warc
 from colloquy.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_url_filters(spark, sf_dir):
     return url_filters.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     packed = packing.pack_documents(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -41,7 +45,7 @@ def op10_benchmark_decontamination(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op7_best_fit_packing, op8_warc, op9_media_columns, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op4_toxicity, op7_best_fit_packing, op8_warc, op9_media_columns, op10_benchmark_decontamination)}
 
 ORACLES = {
     # alias groups by a recursive walk over the declared edges
