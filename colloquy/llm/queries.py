@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontamination, language_id, media, packing, toxicity, url_filters, warc
+from colloquy.llm import decontamination, language_id, media, packing, pii, toxicity, url_filters, warc
 from colloquy.llm.common import table
 
 
@@ -20,6 +20,14 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_pii(spark, sf_dir):
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[pii.counted(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_best_fit_packing(spark, sf_dir):
     packed = packing.pack_documents(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -45,7 +53,7 @@ def op10_benchmark_decontamination(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op4_toxicity, op7_best_fit_packing, op8_warc, op9_media_columns, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op4_toxicity, op6_pii, op7_best_fit_packing, op8_warc, op9_media_columns, op10_benchmark_decontamination)}
 
 ORACLES = {
     # alias groups by a recursive walk over the declared edges
