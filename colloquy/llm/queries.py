@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontamination, language_id, media, packing, pii, toxicity, url_filters, warc
+from colloquy.llm import decontamination, language_id, media, ngram_join, packing, pii, toxicity, url_filters, warc
 from colloquy.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_join(spark, sf_dir):
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark, sf_dir):
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     return found.select(
@@ -53,7 +57,7 @@ def op10_benchmark_decontamination(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op4_toxicity, op6_pii, op7_best_fit_packing, op8_warc, op9_media_columns, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op4_toxicity, op5_ngram_join, op6_pii, op7_best_fit_packing, op8_warc, op9_media_columns, op10_benchmark_decontamination)}
 
 ORACLES = {
     # alias groups by a recursive walk over the declared edges
