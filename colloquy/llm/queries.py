@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontamination, language_id, media, ngram_join, packing, pii, toxicity, url_filters, warc
+from colloquy.llm import decontamination, language_id, line_dedup, media, ngram_join, packing, pii, toxicity, url_filters, warc
 from colloquy.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op2_url_filters(spark, sf_dir):
     return url_filters.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_line_dedup(spark, sf_dir):
+    rows = line_dedup.clean_lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_clean").alias("text"))
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,7 +62,7 @@ def op10_benchmark_decontamination(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op4_toxicity, op5_ngram_join, op6_pii, op7_best_fit_packing, op8_warc, op9_media_columns, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_line_dedup, op4_toxicity, op5_ngram_join, op6_pii, op7_best_fit_packing, op8_warc, op9_media_columns, op10_benchmark_decontamination)}
 
 ORACLES = {
     # alias groups by a recursive walk over the declared edges
