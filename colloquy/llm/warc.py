@@ -66,10 +66,11 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> No
         F.when((F.col("payload_bytes") >= min_revisit_bytes) & (F.col("page_id") > F.col("first_id")), "revisit").otherwise("response"),
     )
     typed.select("page_id", "address", header_block().alias("header")).write.parquet(f"{path}/headers")
-    chosen = firsts.select(F.col("first_id").alias("page_id"), F.col("address").alias("wanted"))
-    # equal rows of one page id would store their payload twice; the grouping keeps the join's partitioning
-    wanted = records.withColumnRenamed("page_id", "own_id").join(chosen, F.col("own_id").eqNullSafe(F.col("page_id"))).where("address = wanted")
-    stored = wanted.groupBy("page_id", "address").agg(F.any_value("payload").alias("payload")).select("address", "payload")
+    # equal rows of one page id would store their payload twice; grouping by the join's key moves nothing again
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    chosen = firsts.select(key("first_id").alias("key"), F.col("address").alias("wanted"))
+    wanted = records.select(key("page_id").alias("key"), "address", "payload").join(chosen, "key").where("address = wanted")
+    stored = wanted.groupBy("key", "address").agg(F.any_value("payload").alias("payload")).select("address", "payload")
     stored.write.parquet(f"{path}/payloads")
 
 
