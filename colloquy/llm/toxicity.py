@@ -8,7 +8,8 @@ make its score.  A document's score is a logistic function of its worst clauses.
 
 Insults are a seed list and what labelled rows teach: words, and beginnings of words for languages
 that attach endings, that stand in many different contexts of toxic documents and hardly elsewhere.
-Contexts, not occurrences, are counted, so that copies of one document teach nothing new.  Pattern
+Contexts, not occurrences, are counted, so that copies of one document teach nothing new, and then
+documents, so that one long text does not either.  Pattern
 weights are smoothed log odds.  The fit uses a bounded sample of labelled rows (``rows_per_label`` rows
 of each label, as expected value, chosen by a hash of the id); scores use the text only.
 
@@ -38,8 +39,9 @@ ROWS_PER_LABEL = 5000
 THRESHOLD = 0.7
 SCALE = 1 << 31
 PREFIXES = (6, 5, 4)
-#: Least log-likelihood ratio, odds and number of contexts of a learned entry; words that share a beginning.
-MIN_LLR, MIN_ODDS, MIN_CONTEXTS, MIN_WORDS = 30.0, 20.0, 12, 3
+#: Least log-likelihood ratio, odds and number of contexts of a learned entry, of words that share a
+#: beginning, and of documents.
+MIN_LLR, MIN_ODDS, MIN_CONTEXTS, MIN_WORDS, MIN_DOCUMENTS = 16.0, 20.0, 8, 3, 5
 NEGATION_REACH, TARGET_REACH = 2, 4
 PRIOR_ROWS = 5.0
 MEMO_WORDS = 500_000
@@ -188,12 +190,38 @@ def _lexicon(sample: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     strong = (pos >= MIN_CONTEXTS) & (llr >= MIN_LLR) & (odds >= MIN_ODDS)
     prefixes = words.select("w", "pos", "neg", F.explode(F.array(*[F.lit(k) for k in PREFIXES])).alias("k")).where("length(w) > k")
     prefixes = prefixes.groupBy(F.expr("substring(w, 1, k)").alias("w")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count("*").alias("many"))
-    out = (
+    found = Grammar(
         frozenset(r["w"] for r in words.where("pos > 0").where(strong).select("w").collect()),
         frozenset(r["w"] for r in prefixes.where(f"pos > 0 and many >= {MIN_WORDS}").where(strong).select("w").collect()),
     )
     drop(words)
-    return out
+    return _in_many_documents(sample, found)
+
+
+def _in_many_documents(sample: DataFrame, found: Grammar) -> tuple[frozenset[str], frozenset[str]]:
+    """Entries that stand in many toxic documents and few others: a long text alone has many contexts."""
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for y, t in zip(batch["toxic"], batch["text"], strict=True):
+                words = set(WORD.findall(t.lower()))
+                own = words & found.words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) > n and w[:n] in found.prefixes}
+                rows += [(y, w) for w in own]
+            yield pd.DataFrame(rows, columns=["toxic", "w"])
+
+    told = sample.select("toxic", "text").mapInPandas(entries, "toxic int, w string")
+    counts = told.groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("pos"), F.count_if(F.col("toxic") == 0).alias("neg")).collect()
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    kept = set()
+    for r in counts:
+        pos, n = r["pos"], r["pos"] + r["neg"]
+        llr = 2 * sum(k * math.log(k / (n * p)) for k, p in ((pos, share), (r["neg"], 1 - share)) if k)
+        odds = ((pos + 0.5) / (sizes.get(1, 0) + 1)) / ((r["neg"] + 0.5) / (sizes.get(0, 0) + 1))
+        if pos >= MIN_DOCUMENTS and llr >= MIN_LLR and odds >= MIN_ODDS:
+            kept.add(r["w"])
+    return frozenset(w for w in kept if w[-1] != "*"), frozenset(w[:-1] for w in kept if w[-1] == "*")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> Grammar:
