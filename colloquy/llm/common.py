@@ -78,5 +78,24 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
+#: Bits of the filter of keys: 2 MB.  Its size is fixed; with more keys it lets more rows through.
+FILTER_BITS = 1 << 24
+
+
+def may_match(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` and _maybe, false where their key ``on`` is surely none of ``keys``.
+
+    A bitmap of hashed keys, FILTER_BITS / 8 bytes, is broadcast, so that long columns of other rows need
+    not be moved for a join with ``keys``.
+    """
+    place = F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS)) + 1
+    bitmaps = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    known = F.getbit(byte, (bit % 8).cast("int")) == 1
+    joined = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bitmaps), "_bucket", "left")
+    return joined.withColumn("_maybe", F.coalesce(known, F.lit(False))).drop("_bucket", "_bits")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

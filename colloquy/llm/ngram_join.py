@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut, drop, partitions
+from colloquy.llm.common import cut, drop, may_match, partitions
 from colloquy.llm.components import connected_components
 
 WORD = re.compile(r"[^\W_]+")
@@ -238,7 +238,9 @@ def _verified(docs: DataFrame, blocks: DataFrame, threshold: float) -> DataFrame
                 yield pd.DataFrame(rows, columns=["family", "pair", "side", "doc", "copies", "hashes"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    rows = texts.join(blocks, "doc").mapInPandas(spread, "family long, pair string, side int, doc long, copies long, hashes binary")
+    # texts of members only are moved, and always by an exchange: what is written grows with the input
+    texts = may_match(texts, blocks, ["doc"]).where("_maybe").select("doc", "text")
+    rows = texts.join(blocks.hint("merge"), "doc").mapInPandas(spread, "family long, pair string, side int, doc long, copies long, hashes binary")
     dealt = rows.repartition(partitions(docs.sparkSession), "family", "pair").sortWithinPartitions("family", "pair", "doc")
     return dealt.mapInPandas(lambda batches: _compare(batches, threshold), "doc long, links long, root long")
 
