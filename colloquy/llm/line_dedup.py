@@ -6,7 +6,7 @@ that equal passages have equal chunks wherever they stand.  Two rollings (over o
 make it likely that a passage of a few lines holds a whole chunk.  Chunks of two lines and more (or of
 one very long line) that occur again are compared byte by byte with their first occurrence, and the
 match is extended line by line on both sides, again by comparing bytes.  Matched lines are removed if
-together, in one run, they have ``min_words`` words.  The first occurrence, in order of id and place,
+together, in one run, they have ``min_run`` characters, as some 40 words have.  The first occurrence, in order of id and place,
 stays: every removed line has an equal one at a smaller place.
 
 Tables that are moved by chunk hash hold numbers only; the bytes of a chunk are fetched for repeated
@@ -23,32 +23,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut, drop
+from colloquy.llm.common import cut, drop, may_match
 
 #: Splits nothing off: a line keeps its break, and the lines joined are the text.
-LINE_END = r"(?<=\n)|(?<=[.!?] )"
-MODULUS, ROLLINGS = 2, (1, 2)
-MIN_LINES, MIN_CHUNK_WORDS, LONG_LINE_WORDS, MIN_WORDS = 2, 8, 40, 40
+LINE_END = r"(?<=\n)|(?<=[.] )"
+ENDS, MARK = ("\n", ". "), "\x00"
+#: A bit of the rolled hash tells whether a chunk ends: every second line ends one.
+END_BIT, ROLLINGS = 20, (1, 2)
+#: Least number of characters of a chunk of several lines, of a lone line, and of a run that goes.
+MIN_CHUNK, LONG_LINE, MIN_RUN = 40, 200, 200
 #: Lines looked at on each side of a chunk when its match is extended.
-REACH = 12
+REACH = 8
 
 KEY = ["doc_id", "_th"]
 
 
 def lines(text: Column) -> Column:
-    return F.split(text, LINE_END, -1)
+    """Lines with their ends.  A mark is put behind every end, and a plain split at it is much faster than
+    looking behind every character; a text that holds the mark is split by the pattern."""
+    marked = text
+    for end in ENDS:
+        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    return F.when(text.contains(MARK), F.split(text, LINE_END, -1)).otherwise(F.split(marked, MARK, -1))
 
 
 def _trim(line: Column) -> Column:
     return F.trim(line, F.lit(" \n\r\t"))
 
 
-def _words(line: Column) -> Column:
-    """Words of a line, by its spaces; 0 for a blank one."""
-    bare = _trim(line)
-    return F.when(bare == "", 0).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1)
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("_th"), "text")
 
@@ -61,26 +63,25 @@ def _chunk_array(rolling: int) -> Column:
         for back in range(1, rolling):
             before = F.when(i > back, F.element_at("hashes", F.greatest(i - back, F.lit(1)))).otherwise(F.lit(0))
             rolled = rolled.bitwiseXOR(F.shiftleft(before, 7 * back))
-        return F.pmod(F.xxhash64(rolled, F.lit(rolling)), F.lit(MODULUS)) == 0
+        return F.shiftright(rolled, END_BIT + rolling).bitwiseAND(F.lit(1)) == 0
 
     n = F.size("hashes")
     ends = F.array_union(F.filter(F.sequence(F.lit(1), n), ends_here), F.array(n))
     starts = F.concat(F.array(F.lit(1)), F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda e: e + 1))
-    return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+
+    def chunk(s: Column, e: Column) -> Column:
+        size = F.aggregate(F.slice("sizes", s, e - s + 1), F.lit(0), lambda n, w: n + w)
+        return F.struct(s.alias("s"), e.alias("e"), F.xxhash64(F.slice("hashes", s, e - s + 1)).alias("h"), size.alias("size"))
+
+    # one chunk of one short line, as every second is, is left out before anything is computed for it
+    spans = F.filter(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), lambda c: (c["e"] > c["s"]) | (F.element_at("sizes", c["s"]) >= LONG_LINE))
+    return F.filter(F.transform(spans, lambda c: chunk(c["s"], c["e"])), lambda c: c["size"] >= MIN_CHUNK)
 
 
 def _chunks(hashed: DataFrame) -> DataFrame:
-    """doc_id, _th, s, e, h of every chunk that may be removed."""
-    words = F.aggregate(F.slice("words", F.col("c.s"), F.col("c.e") - F.col("c.s") + 1), F.lit(0), lambda n, w: n + w)
-    filled = F.size(F.filter(F.slice("words", F.col("c.s"), F.col("c.e") - F.col("c.s") + 1), lambda w: w > 0))
-    rows = None
-    for rolling in ROLLINGS:
-        part = hashed.select(*KEY, "hashes", "words", _chunk_array(rolling).alias("cs"))
-        # a lone chunk of one short line can be left out before anything is computed for it
-        part = part.select(*KEY, "hashes", "words", F.explode("cs").alias("c")).where(((filled >= MIN_LINES) & (words >= MIN_CHUNK_WORDS)) | (words >= LONG_LINE_WORDS))
-        part = part.select(*KEY, F.col("c.s").alias("s"), F.col("c.e").alias("e"), F.xxhash64(F.slice("hashes", F.col("c.s"), F.col("c.e") - F.col("c.s") + 1)).alias("h"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.distinct()
+    """doc_id, _th, s, e, h of every chunk that may be removed.  A chunk that both rollings make is one."""
+    arrays = [F.transform(_chunk_array(r), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["h"].alias("h"))) for r in ROLLINGS]
+    return hashed.select(*KEY, F.explode(F.array_union(*arrays)).alias("c")).select(*KEY, "c.*")
 
 
 def _around(s: Column, e: Column, left: Column, right: Column) -> list[Column]:
@@ -106,32 +107,36 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """doc_id, _th, runs: for each document with repeats, the runs (s, e) of lines that an earlier place has too."""
     keyed = _keyed(docs)
     units = lines(F.col("text"))
-    hashed = keyed.select(*KEY, F.transform(units, lambda u: F.struct(F.xxhash64(_trim(u)).alias("h"), _words(u).alias("w"))).alias("u"))
-    hashed = cut(hashed.select(*KEY, F.col("u.h").alias("hashes"), F.col("u.w").alias("words")), "lines_hashed")
+    hashed = keyed.select(*KEY, F.transform(F.transform(units, _trim), lambda u: F.struct(F.xxhash64(u).alias("h"), F.length(u).alias("n"))).alias("u"))
+    hashed = cut(hashed.select(*KEY, F.col("u.h").alias("hashes"), F.col("u.n").alias("sizes")), "lines_hashed")
     chunks = cut(_chunks(hashed), "lines_chunks")
     place = F.struct("doc_id", "_th", "s", "e")
     firsts = chunks.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
     firsts = cut(firsts, "lines_firsts")
-    repeats = chunks.join(firsts, "h").where(~(place == F.col("first"))).select(*KEY, "s", "e", "h")
+    # repeated rows tell each repeat several times
+    repeats = chunks.join(firsts, "h").where(~(place == F.col("first"))).select(*KEY, "s", "e", "h").distinct()
     # only the outer ends of neighbouring repeats need extending
     by_place = Window.partitionBy(*KEY).orderBy("s", "e")
     reached = F.max("e").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    wanted = repeats.select(
-        *KEY, "s", "e", "h", F.lit(False).alias("is_first"),
-        (~F.coalesce(reached >= F.col("s") - 1, F.lit(False))).alias("left"), (~F.coalesce(F.lead("s").over(by_place) <= F.col("e") + 1, F.lit(False))).alias("right"),
+    repeats = cut(
+        repeats.select(
+            *KEY, "s", "e", "h", F.lit(False).alias("is_first"),
+            (~F.coalesce(reached >= F.col("s") - 1, F.lit(False))).alias("left"), (~F.coalesce(F.lead("s").over(by_place) <= F.col("e") + 1, F.lit(False))).alias("right"),
+        ),
+        "lines_repeats",
     )
-    own = firsts.select("first.doc_id", "first._th", "first.s", "first.e", "h", F.lit(True).alias("is_first"), F.lit(True).alias("left"), F.lit(True).alias("right"))
-    wanted = wanted.unionByName(own).groupBy(*KEY).agg(F.collect_list(F.struct("s", "e", "h", "is_first", "left", "right")).alias("wanted"))
+    ends = cut(repeats.groupBy("h").agg(F.bool_or("left").alias("left"), F.bool_or("right").alias("right")), "lines_ends")
+    own = firsts.join(ends, "h").select("first.doc_id", "first._th", "first.s", "first.e", "h", F.lit(True).alias("is_first"), "left", "right")
+    wanted = repeats.unionByName(own).groupBy(*KEY).agg(F.collect_list(F.struct("s", "e", "h", "is_first", "left", "right")).alias("wanted"))
     wanted = cut(wanted, "lines_wanted")
-    drop(hashed, chunks, firsts)
-
-    told = keyed.join(wanted, KEY).select(*KEY, lines(F.col("text")).alias("lines"), "wanted").select(*KEY, "lines", F.explode("wanted").alias("x"))
+    drop(hashed, chunks, firsts, repeats, ends)
+    # repeated rows are one here; the join keeps the grouping's partitioning
+    texts = may_match(keyed, wanted, KEY).where("_maybe").groupBy(*KEY).agg(F.any_value("text").alias("text"))
+    told = texts.join(wanted.hint("merge"), KEY).select(*KEY, lines(F.col("text")).alias("lines"), "wanted").select(*KEY, "lines", F.explode("wanted").alias("x"))
     x = F.col("x")
     told = told.select(*KEY, x["s"].alias("s"), x["e"].alias("e"), x["h"].alias("h"), x["is_first"].alias("is_first"), *_around(x["s"], x["e"], x["left"], x["right"]))
     told = cut(told, "lines_bytes")
-    # repeated rows tell the first occurrence several times
-    first = told.where("is_first").groupBy("h").agg(F.first(F.struct("bytes", "before", "after")).alias("f"))
-    first = cut(first.select("h", "f.*"), "lines_first_bytes").select("h", *[F.col(c).alias(f"first_{c}") for c in ("bytes", "before", "after")])
+    first = told.where("is_first").select("h", *[F.col(c).alias(f"first_{c}") for c in ("bytes", "before", "after")])
     same = told.where(~F.col("is_first")).join(first, "h").where("bytes = first_bytes")
     found = same.select(
         *KEY, (F.col("s") - _equal_first(F.col("before"), F.col("first_before"))).alias("s"), (F.col("e") + _equal_first(F.col("after"), F.col("first_after"))).alias("e")
@@ -145,31 +150,31 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     return cut(runs.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("runs")), "lines_runs")
 
 
-def clean_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with three more columns: _clean (the text that is left), _n_lines, _n_removed."""
-    runs = repeated_runs(docs).withColumnsRenamed({"doc_id": "_run_id", "_th": "_run_th", "runs": "_runs"})
-    rows = docs.withColumn("_th", F.xxhash64("text"))
-    rows = rows.join(runs, (rows["doc_id"] == runs["_run_id"]) & (rows["_th"] == runs["_run_th"]), "left").drop("_run_id", "_run_th", "_th")
-    rows = rows.withColumn("_lines", lines(F.col("text")))
-    words = lambda r: F.aggregate(F.slice("_lines", r["s"], r["e"] - r["s"] + 1), F.lit(0), lambda n, u: n + _words(u))
-    rows = rows.withColumn("_runs", F.filter(F.coalesce("_runs", F.array().cast("array<struct<s:int,e:int>>")), lambda r: words(r) >= min_words))
+def clean_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+    """``docs`` with two more columns: _clean (the text that is left), _n_removed (lines)."""
+    runs = repeated_runs(docs)
+    keyed = docs.withColumnsRenamed({c: f"_doc_{c}" for c in docs.columns}).withColumns({"doc_id": F.col("_doc_doc_id"), "_th": F.xxhash64("_doc_text")})
+    marked = may_match(keyed, runs, KEY)
+    own = [F.col(f"_doc_{c}").alias(c) for c in docs.columns]
+    text = F.col("_doc_text")
+    rest = marked.where(~F.col("_maybe") | text.isNull()).select(*own, text.alias("_clean"), F.lit(0).cast("long").alias("_n_removed"))
+    rows = marked.where(F.col("_maybe") & text.isNotNull()).join(runs.hint("merge"), KEY, "left").withColumn("_lines", lines(text))
+    size = lambda r: F.aggregate(F.slice("_lines", r["s"], r["e"] - r["s"] + 1), F.lit(0), lambda n, u: n + F.length(u))
+    rows = rows.withColumn("_runs", F.filter(F.coalesce("runs", F.array().cast("array<struct<s:int,e:int>>")), lambda r: size(r) >= min_run))
     starts = F.concat(F.array(F.lit(1)), F.transform("_runs", lambda r: r["e"] + 1))
     ends = F.concat(F.transform("_runs", lambda r: r["s"] - 1), F.array(F.size("_lines")))
     kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("_lines", a, F.greatest(b - a + 1, F.lit(0)))))
     removed = F.aggregate("_runs", F.lit(0), lambda n, r: n + r["e"] - r["s"] + 1)
-    return rows.select(
-        *docs.columns,
-        F.when(F.size("_runs") > 0, F.array_join(kept, "")).otherwise(F.col("text")).alias("_clean"),
-        F.greatest(F.size("_lines"), F.lit(0)).cast("long").alias("_n_lines"), removed.cast("long").alias("_n_removed"),
-    )
+    rows = rows.select(*own, F.when(F.size("_runs") > 0, F.array_join(kept, "")).otherwise(text).alias("_clean"), removed.cast("long").alias("_n_removed"))
+    return rest.unionByName(rows)
 
 
-def dedupe_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedupe_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` without repeated passages; documents of which nothing is left are dropped.
 
     Columns stay as they are; ``n_chars``, where there is one, follows the text.
     """
-    rows = clean_lines(docs, min_words)
+    rows = clean_lines(docs, min_run)
     changed = F.col("_n_removed") > 0
     rows = rows.where(~changed | (_trim(F.col("_clean")) != ""))
     new = {"text": F.col("_clean")}
