@@ -6,6 +6,7 @@ Question-sized inputs (terms, query vectors, hits) are small by nature: a questi
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -70,19 +71,19 @@ def bm25(docs: DataFrame, phrases: list[list[str]], stemmed: bool = True, scope:
     rows = docs.withColumn("_terms", terms).select(*docs.columns, F.size("_terms").cast("double").alias("_dl"), *counts)
     if not phrases:
         return docs.limit(0).withColumn("keyword_score", F.lit(0.0))
-    stats = rows.agg(F.count("*").cast("double").alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_f{k}") > 0).cast("double").alias(f"_n{k}") for k in range(len(phrases))])
-    scored = rows.crossJoin(F.broadcast(stats))  # one row
+    # one row of statistics; as numbers, they need no join
+    stats = rows.agg(F.count("*").cast("double").alias("n"), F.avg("_dl").alias("avg"), *[F.count_if(F.col(f"_f{k}") > 0).cast("double").alias(f"n{k}") for k in range(len(phrases))]).first()
     score = F.lit(0.0)
     for k in range(len(phrases)):
-        f, n = F.col(f"_f{k}"), F.col(f"_n{k}")
-        idf = F.log((F.col("_n") - n + 0.5) / (n + 0.5))
-        idf = F.when(idf <= 0, FLOOR).otherwise(idf)
-        score = score + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))).otherwise(0.0)
+        f, n = F.col(f"_f{k}"), stats[f"n{k}"]
+        idf = math.log((stats["n"] - n + 0.5) / (n + 0.5))
+        weight = idf if idf > 0 else FLOOR
+        score = score + F.when(f > 0, weight * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_dl") / (stats["avg"] or 1.0)))).otherwise(0.0)
     hits = [F.col(f"_f{k}") > 0 for k in range(len(phrases))]
     some = hits[0]
     for h in hits[1:]:
         some = (some & h) if match_all else (some | h)
-    out = scored.where(some).withColumn("keyword_score", score)
+    out = rows.where(some).withColumn("keyword_score", score)
     if scope is not None:
         out = out.where(scope)
     return out.select(*docs.columns, "keyword_score")
@@ -164,8 +165,10 @@ def verified_claims(claims: DataFrame, hits: DataFrame) -> DataFrame:
 
 def answer(claims: DataFrame, hits: DataFrame) -> DataFrame:
     """One row: found (some claim holds), kept and dropped counts."""
-    kept = verified_claims(claims, hits)
-    return claims.agg(F.count("*").alias("n")).crossJoin(kept.agg(F.count("*").alias("kept"))).select((F.col("kept") > 0).alias("found"), "kept", (F.col("n") - F.col("kept")).alias("dropped"))
+    cited = hits.select(F.col("position").alias("source_number"), F.col("text").alias("_cited"))
+    holds = F.coalesce(verify_quote(F.col("quote"), F.col("_cited")), F.lit(False))
+    judged = claims.join(F.broadcast(cited), "source_number", "left").select(holds.alias("holds"))
+    return judged.agg((F.count_if("holds") > 0).alias("found"), F.count_if("holds").alias("kept"), F.count_if(~F.col("holds")).alias("dropped"))
 
 
 def chat_search(messages: DataFrame, query: str, limit: int = 10, scope=None) -> DataFrame:

@@ -184,3 +184,42 @@ def test_zero_denominators(spark):
     assert evaluation.publishable("hashing", True, set(), set(), set(), set()) and evaluation.publishable("minilm", True, {"1"}, {"1"}, {"s"}, {"s"}) is None
 
 
+
+
+def test_leaks_need_a_store(spark):
+    some = spark.createDataFrame([("1",), ("2",)], "id string")
+    assert evaluation.direct_message_leaks(some, some.where("id = '2'")).first().asDict() == {"stored": 2, "leaks": 1}
+    assert evaluation.direct_message_leaks(some.limit(0), some).first().asDict() == {"stored": 0, "leaks": None}
+
+
+def test_metrics_of_matched_items(spark):
+    rows = [("Bo", "bo ", "2024-01-01", "2024-01-01", "absolute", "by x"), ("UNSPECIFIED", "UNSPECIFIED", "UNSPECIFIED", "2024-01-02", "relative_resolved", "soon"), ("Al", "Bo", "2024-01-01", "2024-01-03", "absolute", " ")]
+    frame = spark.createDataFrame(rows, "golden_owner string, owner string, golden_due string, due_date string, date_type string, stated string")
+    assert evaluation.owner_scores(frame).first().asDict() == {"named": 2, "named_right": 1, "unspecified": 1, "unspecified_kept": 1}
+    assert evaluation.date_scores(frame).first().asDict() == {"invented": 2, "resolved": 1}
+    risks = spark.createDataFrame([("high", "We will MISS it"), ("high", "fine"), ("low", "miss")], "severity string, quote string")
+    assert evaluation.severity_defensible(risks).first().asDict() == {"high": 2, "defensible": 1}
+
+
+def test_digest_prefers_attention(spark):
+    rows = [
+        ("c", "1", "risk", '{"severity": "medium"}', True, 0.9, 1, dt.date(2024, 1, 1)), ("c", "2", "risk", '{"severity": "high"}', True, 0.1, 2, dt.date(2024, 1, 2)), ("c", "3", "risk", '{"severity": "low"}', True, 0.9, 3, dt.date(2024, 1, 3)),
+        ("c", "4", "action", '{"owner": "UNSPECIFIED", "due_date": "UNSPECIFIED"}', True, 0.9, 4, dt.date(2024, 1, 3)), ("c", "5", "signal", '{"classification": "request"}', True, 0.9, 5, dt.date(2024, 1, 2)),
+    ]
+    items = spark.createDataFrame(rows, "scope_key string, id string, extraction_type string, payload string, quote_verified boolean, confidence double, char_start int, approved_on date")
+    told = lambda day: {r["id"]: (r["section"], r["position"]) for r in rollups.digest_sections(items, day).collect()}
+    assert told(dt.date(2024, 1, 2)) == {"2": ("attention", 1), "1": ("attention", 2), "4": ("to_decide", 1), "5": ("moved", 1)}
+    assert told(dt.date(2025, 1, 1)) == {"2": ("attention", 1), "1": ("attention", 2), "4": ("to_decide", 1), "3": ("moved", 1), "5": ("moved", 2)}
+
+
+def test_records_and_recaps(spark):
+    rows = [("1", "s", "action", '{"what": "w", "owner": "Bo", "due_date": "UNSPECIFIED"}', "{}", "q1", 3, "approved"), ("2", "s", "risk", '{"description": "d"}', '{"description": "d"}', "q2", 1, "approved"), ("3", "s", "action", "{}", "{}", "q", 1, "rejected"), ("4", "t", "action", "{}", "{}", "q", 1, "approved")]
+    own = spark.createDataFrame(rows, "id string, source_id string, extraction_type string, payload string, original_payload string, verbatim_quote string, char_start int, status string")
+    own = own.withColumns({"speaker": F.lit("Ann"), "timestamp": F.lit("00:01:00"), "confidence": F.lit(0.5)})
+    sources = spark.createDataFrame([("s", "Title", True), ("t", "Other", False)], "source_id string, title string, consent_flag boolean").withColumns({"meeting_date": F.lit("2024-01-01").cast("date"), "participants": F.array(F.lit("Ann"))})
+    approvals = spark.createDataFrame([("1", "Zoe", T0)], "extraction_id string, approved_by string, approved_at timestamp")
+    got = rollups.outcome_records(own, sources, approvals).collect()
+    assert [r["source_id"] for r in got] == ["s"] and got[0]["rejected_not_included"] == 1
+    assert [(x["id"], x["approved_by"], x["edited_by_reviewer"]) for x in got[0]["actions"]] == [("1", "Zoe", True)] and not got[0]["risks"][0]["edited_by_reviewer"]
+    body = {r["source_id"]: r["body"] for r in rollups.followup_drafts(own, sources).collect()}["s"]
+    assert body.startswith("# Recap: Title\n\n_Meeting held 2024-01-01.") and "- w\n  Bo · no date stated\n  > \"q1\"\n  — Ann at 00:01:00" in body and body.index("committed") < body.index("Risks")
