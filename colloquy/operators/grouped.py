@@ -160,8 +160,9 @@ def greedy_pairs(golden: DataFrame, extractions: DataFrame) -> DataFrame:
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         group = (left if len(left) else right).iloc[0]["group_id"]
-        wanted = list(left.sort_values(["position", "golden_id"]).itertuples(index=False))
-        offered = list(right.sort_values(["position", "extraction_id"]).itertuples(index=False))
+        # a side without rows may come without columns
+        wanted = list(left.sort_values(["position", "golden_id"]).itertuples(index=False)) if len(left) else []
+        offered = list(right.sort_values(["position", "extraction_id"]).itertuples(index=False)) if len(right) else []
         words = {e.extraction_id: _content(e.task) for e in offered}
         used, out = set(), []
         for pass_no in (1, 2):

@@ -1,5 +1,6 @@
 """Compares a query's rows with DuckDB's for the same tables."""
 
+import numbers
 import os
 
 import duckdb
@@ -20,8 +21,8 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(v):
         if v is None or v is pd.NaT or (isinstance(v, float) and v != v) or v is pd.NA:
             return ""
-        if isinstance(v, float):
-            return repr(round(v, 5))
+        if isinstance(v, numbers.Number) and not isinstance(v, bool):
+            return repr(round(float(v), 5))
         return str(list(v)) if hasattr(v, "tolist") and hasattr(v, "__len__") else str(v)
 
     df = df[sorted(df.columns)]

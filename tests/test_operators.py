@@ -93,6 +93,8 @@ def test_pairing_prefers_quotes(spark):
     told = spark.createDataFrame([("g", "e1", 0, "the exact words here", "fix login page bug")], "group_id string, extraction_id string, position int, quote string, task string")
     got = {(r["golden_id"], r["extraction_id"]) for r in grouped.greedy_pairs(golden, told).collect()}
     assert got == {("g2", "e1"), ("g1", None)}
+    assert {(r["golden_id"], r["extraction_id"]) for r in grouped.greedy_pairs(golden.limit(0), told).collect()} == {(None, "e1")}
+    assert {(r["golden_id"], r["extraction_id"]) for r in grouped.greedy_pairs(golden, told.limit(0)).collect()} == {("g1", None), ("g2", None)}
     scores = evaluation.recall_precision(grouped.greedy_pairs(golden, told)).first()
     assert (scores["recall"], scores["precision"]) == (0.5, 1.0)
 
