@@ -159,6 +159,7 @@ def greedy_pairs(golden: DataFrame, extractions: DataFrame) -> DataFrame:
     """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = (side.rename(columns=lambda c: c[2:]) for side in (left, right))
         group = (left if len(left) else right).iloc[0]["group_id"]
         # a side without rows may come without columns
         wanted = list(left.sort_values(["position", "golden_id"]).itertuples(index=False)) if len(left) else []
@@ -185,4 +186,6 @@ def greedy_pairs(golden: DataFrame, extractions: DataFrame) -> DataFrame:
         done["pass_no"] = done["pass_no"].astype("Int32")
         return done
 
-    return golden.groupBy("group_id").cogroup(extractions.groupBy("group_id")).applyInPandas(run, PAIRS)
+    # the sides may be made of one table; columns that they share would be taken for the same
+    own = lambda df, mark, key: df.select(*[F.col(c).alias(f"{mark}_{c}") for c in ("group_id", key, "position", "quote", "task")]).groupBy(f"{mark}_group_id")
+    return own(golden, "g", "golden_id").cogroup(own(extractions, "e", "extraction_id")).applyInPandas(run, PAIRS)
