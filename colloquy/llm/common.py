@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -69,6 +75,73 @@ def _clean() -> None:
             return
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: the latest operator's, and no other's.
+
+    Workers are used again for other stages, so what earlier ones kept would add up.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        _give_back()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def _give_back() -> None:
+    """Return freed memory to the system; the allocators would hold it for a next time."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+#: Rows that a Python worker takes up at a time; a batch of long texts is not unpacked as a whole.
+SLICE = 500
+
+#: From slices of the columns read to (for each row made, the place of the row it is made of; None: row by row), new columns.
+TextFunction = Callable[..., tuple[list[int] | None, list[list]]]
+
+
+def map_texts(rows: DataFrame, make: Callable[[], TextFunction], added: str, keep: list[str] | None = None, read: tuple[str, ...] = ("text",)) -> DataFrame:
+    """Rows with columns that Python makes of their texts, or other columns to ``read``.
+
+    ``keep`` (all that is not read by default) stay as they are, bit for bit, as they never leave Arrow.
+    ``make`` is called once for each partition.
+    """
+    keep = [c for c in rows.columns if c not in read] if keep is None else keep
+    new = T.StructType.fromDDL(added)
+    schema = T.StructType([rows.schema[c] for c in keep] + [f for f in new])
+    types = [f.type for f in to_arrow_schema(new)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                index, columns = function(*[part.column(c).to_pylist() for c in read])
+                same = [part.column(c) if index is None else part.column(c).take(pa.array(index, pa.int64())) for c in keep]
+                made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*same, *made], names=schema.names)
+        function = None
+        _give_back()
+
+    return rows.select(*dict.fromkeys([*keep, *read])).mapInArrow(run, schema)
+
+
+def prefixed(docs: DataFrame) -> DataFrame:
+    """``docs`` with names that no operator's own columns have."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"_doc_{c}") for c in docs.columns])
+
+
+def original(docs: DataFrame, **new: Column) -> list[Column]:
+    """The columns of ``docs``, of a prefixed frame, with some of them replaced."""
+    return [new.get(c, F.col(f"`_doc_{c}`")).alias(c) for c in docs.columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,10 +19,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from colloquy.llm.common import kept, map_texts, original, prefixed
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -158,16 +158,10 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_DETECTORS: dict[bytes, Detector] = {}
-
-
 def detector(items: list[tuple[str | None, str]], window: int) -> Detector:
     """The detector of these items; a worker that is used again need not build it again."""
-    key = hashlib.sha256(repr((window, items)).encode("utf-8", "surrogatepass")).digest()
-    if key not in _DETECTORS:
-        _DETECTORS.clear()
-        _DETECTORS[key] = Detector(items, window)
-    return _DETECTORS[key]
+    key = hashlib.sha256(repr((window, items)).encode("utf-8", "surrogatepass")).hexdigest()
+    return kept(f"detector {key}", lambda: Detector(items, window))
 
 
 def shards(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[list[tuple[str | None, str]]]:
@@ -179,36 +173,56 @@ def shards(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[list[tu
     return [[(r["item_id"], r["text"]) for r in items.where(part == k).orderBy("item_id", "text").collect()] for k in range(n)]
 
 
-FOUND = "struct<n_words: bigint, spans: array<struct<a: int, b: int>>, items: array<string>>"
+FOUND = "_found struct<n_words: bigint, spans: array<struct<a: int, b: int>>, items: array<string>>"
 
 
-def _pass(rows: DataFrame, text: str, found: str, items: list[tuple[str | None, str]], window: int) -> DataFrame:
-    """Add what one shard finds to the column ``found``: spans of words and item ids."""
-    schema = T.StructType([f for f in rows.schema if f.name != found] + [T.StructField(found, T.StructType.fromDDL(f"x {FOUND}")["x"].dataType)])
+def _pass(rows: DataFrame, text: str, items: list[tuple[str | None, str]], window: int) -> DataFrame:
+    """Add what one shard finds as _found: spans of words and item ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         own = detector(items, window)
-        for batch in batches:
+
+        def told(texts: list) -> tuple[None, list[list]]:
             out = []
-            for t, before in zip(batch[text], batch[found] if found in batch else [None] * len(batch), strict=True):
+            for t in texts:
                 words = words_of(t)
                 spans, ids = own.find(words)
-                ids.discard(None)
-                if before is not None:
-                    spans = merge(spans + [(s["a"], s["b"]) for s in before["spans"]])
-                    ids |= set(before["items"])
-                out.append({"n_words": len(words), "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted(ids)})
-            yield batch.drop(columns=[found], errors="ignore").assign(**{found: out})
+                out.append({"n_words": len(words), "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted(ids - {None})})
+            return None, [out]
+
+        return told
+
+    return map_texts(rows, make, FOUND, keep=rows.columns, read=(text,))
+
+
+def _search(docs: DataFrame, text: str, benchmark: DataFrame, window: int, shard_bytes: int) -> DataFrame:
+    """``docs`` with _found over all shards."""
+    first, *more = shards(benchmark, shard_bytes)
+    rows = _pass(docs, text, first, window)
+    for items in more:
+        rows = _pass(rows.withColumnRenamed("_found", "_before"), text, items, window)
+        spans = merged_spans(F.concat("_before.spans", "_found.spans"))
+        both = F.struct(F.col("_found.n_words").alias("n_words"), spans.alias("spans"), F.array_union("_before.items", "_found.items").alias("items"))
+        rows = rows.withColumn("_found", both).drop("_before")
+    return rows
+
+
+def merged_spans(spans: Column) -> Column:
+    """Spans in order, those that touch or overlap as one."""
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        joined = F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))
+        touches = F.when(F.size(done) > 0, x["a"] <= last["b"]).otherwise(False)
+        return F.when(touches, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(x)))
 
-    return rows.mapInPandas(run, schema)
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<a: int, b: int>>"), add)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_words, spans (of words), items for every document."""
-    rows = docs.select("doc_id", "text")
-    for items in shards(benchmark, shard_bytes):
-        rows = _pass(rows, "text", "_found", items, window)
-    return rows.select("doc_id", F.col("_found.n_words").alias("n_words"), F.col("_found.spans").alias("spans"), F.col("_found.items").alias("items"))
+    rows = _search(docs.select("doc_id", "text"), "text", benchmark, window, shard_bytes)
+    return rows.select("doc_id", "_found.n_words", "_found.spans", "_found.items")
 
 
 def remove_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -226,18 +240,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     Columns stay as they are; ``n_chars``, where there is one, follows the text.
     """
-    found = "_contamination"
-    rows = docs
-    for items in shards(benchmark, shard_bytes):
-        rows = _pass(rows, "text", found, items, window)
-    hit = F.aggregate(f"{found}.spans", F.lit(0), lambda s, x: s + x["b"] - x["a"])
-    rows = rows.where((hit == 0) | (hit <= max_coverage * F.col(f"{found}.n_words")))
-
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([remove_words(t, [(s["a"], s["b"]) for s in x]) if t is not None and len(x) else t for t, x in zip(texts, spans, strict=True)])
-
-    rows = rows.withColumn("_clean", F.when(F.size(f"{found}.spans") > 0, cleaned("text", f"{found}.spans")).otherwise(F.col("text")))
-    changed = F.size(f"{found}.spans") > 0
-    new = {"text": F.col("_clean")} | ({"n_chars": F.when(changed, F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return rows.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    rows = _search(prefixed(docs), "_doc_text", benchmark, window, shard_bytes)
+    hit = F.aggregate("_found.spans", F.lit(0), lambda s, x: s + x["b"] - x["a"])
+    rows = rows.where((hit == 0) | (hit <= max_coverage * F.col("_found.n_words"))).withColumn("_spans", F.col("_found.spans")).drop("_found")
+
+    def cleaned(texts: list, spans: list) -> tuple[None, list[list]]:
+        return None, [[remove_words(t, [(s["a"], s["b"]) for s in x]) if x else t for t, x in zip(texts, spans, strict=True)]]
+
+    rows = map_texts(rows, lambda: cleaned, "_clean string", keep=rows.columns, read=("_doc_text", "_spans"))
+    new = {"text": F.col("_clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size("_spans") > 0, F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc_n_chars"))
+    return rows.select(*original(docs, **new))

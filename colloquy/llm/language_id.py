@@ -15,14 +15,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut, drop, id_crc
+from colloquy.llm.common import cut, drop, id_crc, map_texts
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -132,14 +130,17 @@ def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every whole text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         predictor = Predictor(model)
-        for batch in batches:
-            told = [predictor.predict(t) for t in batch["text"]]
-            yield batch[["doc_id", "held_out"]].assign(lang_pred=[x for x, _ in told], score=[x for _, x in told])
+
+        def told(texts: list) -> tuple[None, list[list]]:
+            found = [predictor.predict(t) for t in texts]
+            return None, [[lang for lang, _ in found], [score for _, score in found]]
+
+        return told
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return map_texts(rows, make, "lang_pred string, score double")
 
 
 def identify_languages(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> DataFrame:

@@ -1,10 +1,9 @@
 """Removal of passages that repeat across documents, with DataFrame functions only.
 
 A text is a list of lines; a line ends at a line break or, as running text seldom has any, after a
-sentence.  A rolling hash over the hashes of the last lines decides where a chunk of lines ends, so
-that equal passages have equal chunks wherever they stand.  Two rollings (over one and over two lines)
-make it likely that a passage of a few lines holds a whole chunk.  Chunks of two lines and more (or of
-one very long line) that occur again are compared byte by byte with their first occurrence, and the
+sentence.  A rolling hash over the hashes of two lines decides where a chunk of lines ends, so that
+equal passages have equal boundaries wherever they stand.  Chunks of two lines and more (or of one very
+long line) that occur again are compared byte by byte with their first occurrence, and the
 match is extended line by line on both sides, again by comparing bytes.  Matched lines are removed if
 together, in one run, they have ``min_run`` characters, as some 40 words have.  The first occurrence, in order of id and place,
 stays: every removed line has an equal one at a smaller place.
@@ -23,13 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut, drop, may_match
+from colloquy.llm.common import cut, drop, may_match, original, prefixed
 
 #: Splits nothing off: a line keeps its break, and the lines joined are the text.
 LINE_END = r"(?<=\n)|(?<=[.] )"
 ENDS, MARK = ("\n", ". "), "\x00"
-#: A bit of the rolled hash tells whether a chunk ends: every second line ends one.
-END_BIT, ROLLINGS = 20, (1, 2)
+#: Three bits of the rolled hash tell whether a chunk ends: five of eight lines end one.
+END_BITS, ENDING = 20, 5
 #: Least number of characters of a chunk of several lines, of a lone line, and of a run that goes.
 MIN_CHUNK, LONG_LINE, MIN_RUN = 40, 200, 200
 #: Lines looked at on each side of a chunk when its match is extended.
@@ -55,33 +54,35 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("_th"), "text")
 
 
-def _chunk_array(rolling: int) -> Column:
-    """Chunks (s, e, h) of one rolling: places from 1, both inclusive, and the hash of their lines."""
+def _chunk_array() -> Column:
+    """Chunks (s, e, h): places from 1, both inclusive, and the hash of their lines.
+
+    A boundary is behind a line if the hash rolled over that line and the next one says so.  Chunks are
+    what lies between boundaries and, as a short passage may hold only one, the two lines at each.
+    """
+    n = F.size("hashes")
 
     def ends_here(i: Column) -> Column:
-        rolled = F.element_at("hashes", i)
-        for back in range(1, rolling):
-            before = F.when(i > back, F.element_at("hashes", F.greatest(i - back, F.lit(1)))).otherwise(F.lit(0))
-            rolled = rolled.bitwiseXOR(F.shiftleft(before, 7 * back))
-        return F.shiftright(rolled, END_BIT + rolling).bitwiseAND(F.lit(1)) == 0
+        rolled = F.element_at("hashes", i).bitwiseXOR(F.shiftleft(F.element_at("hashes", F.least(i + 1, n)), 7))
+        return (i < n) & (F.shiftright(rolled, END_BITS).bitwiseAND(F.lit(7)) < ENDING)
 
-    n = F.size("hashes")
-    ends = F.array_union(F.filter(F.sequence(F.lit(1), n), ends_here), F.array(n))
-    starts = F.concat(F.array(F.lit(1)), F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda e: e + 1))
+    inner = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), ends_here)
+    span = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+    between = F.zip_with(F.concat(F.array(F.lit(1)), F.transform(inner, lambda e: e + 1)), F.concat(inner, F.array(n)), span)
+    # one chunk of one short line is left out before anything is computed for it
+    between = F.filter(between, lambda c: (c["e"] > c["s"]) | (F.element_at("sizes", c["s"]) >= LONG_LINE))
+    spans = F.concat(between, F.transform(inner, lambda e: span(e, e + 1)))
 
-    def chunk(s: Column, e: Column) -> Column:
-        size = F.aggregate(F.slice("sizes", s, e - s + 1), F.lit(0), lambda n, w: n + w)
-        return F.struct(s.alias("s"), e.alias("e"), F.xxhash64(F.slice("hashes", s, e - s + 1)).alias("h"), size.alias("size"))
+    def chunk(c: Column) -> Column:
+        size = F.aggregate(F.slice("sizes", c["s"], c["e"] - c["s"] + 1), F.lit(0), lambda n, w: n + w)
+        return F.struct(c["s"].alias("s"), c["e"].alias("e"), F.xxhash64(F.slice("hashes", c["s"], c["e"] - c["s"] + 1)).alias("h"), size.alias("size"))
 
-    # one chunk of one short line, as every second is, is left out before anything is computed for it
-    spans = F.filter(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), lambda c: (c["e"] > c["s"]) | (F.element_at("sizes", c["s"]) >= LONG_LINE))
-    return F.filter(F.transform(spans, lambda c: chunk(c["s"], c["e"])), lambda c: c["size"] >= MIN_CHUNK)
+    return F.filter(F.transform(spans, chunk), lambda c: c["size"] >= MIN_CHUNK)
 
 
 def _chunks(hashed: DataFrame) -> DataFrame:
-    """doc_id, _th, s, e, h of every chunk that may be removed.  A chunk that both rollings make is one."""
-    arrays = [F.transform(_chunk_array(r), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["h"].alias("h"))) for r in ROLLINGS]
-    return hashed.select(*KEY, F.explode(F.array_union(*arrays)).alias("c")).select(*KEY, "c.*")
+    """doc_id, _th, s, e, h of every chunk that may be removed."""
+    return hashed.select(*KEY, F.explode(_chunk_array()).alias("c")).select(*KEY, "c.s", "c.e", "c.h")
 
 
 def _around(s: Column, e: Column, left: Column, right: Column) -> list[Column]:
@@ -150,13 +151,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     return cut(runs.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("runs")), "lines_runs")
 
 
-def clean_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """``docs`` with two more columns: _clean (the text that is left), _n_removed (lines)."""
+def _cleaned(docs: DataFrame, min_run: int) -> DataFrame:
+    """Prefixed ``docs`` with _clean (the text that is left) and _n_removed (lines)."""
     runs = repeated_runs(docs)
-    keyed = docs.withColumnsRenamed({c: f"_doc_{c}" for c in docs.columns}).withColumns({"doc_id": F.col("_doc_doc_id"), "_th": F.xxhash64("_doc_text")})
-    marked = may_match(keyed, runs, KEY)
-    own = [F.col(f"_doc_{c}").alias(c) for c in docs.columns]
+    marked = may_match(prefixed(docs).withColumns({"doc_id": F.col("_doc_doc_id"), "_th": F.xxhash64("_doc_text")}), runs, KEY)
     text = F.col("_doc_text")
+    own = [c for c in marked.columns if c.startswith("_doc_")]
     rest = marked.where(~F.col("_maybe") | text.isNull()).select(*own, text.alias("_clean"), F.lit(0).cast("long").alias("_n_removed"))
     rows = marked.where(F.col("_maybe") & text.isNotNull()).join(runs.hint("merge"), KEY, "left").withColumn("_lines", lines(text))
     size = lambda r: F.aggregate(F.slice("_lines", r["s"], r["e"] - r["s"] + 1), F.lit(0), lambda n, u: n + F.length(u))
@@ -169,15 +169,19 @@ def clean_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     return rest.unionByName(rows)
 
 
+def clean_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+    """doc_id, n_removed (lines) and the text that is left of every document."""
+    return _cleaned(docs, min_run).select(F.col("_doc_doc_id").alias("doc_id"), F.col("_n_removed").alias("n_removed"), F.col("_clean").alias("text"))
+
+
 def dedupe_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` without repeated passages; documents of which nothing is left are dropped.
 
     Columns stay as they are; ``n_chars``, where there is one, follows the text.
     """
-    rows = clean_lines(docs, min_run)
+    rows = _cleaned(docs, min_run)
     changed = F.col("_n_removed") > 0
-    rows = rows.where(~changed | (_trim(F.col("_clean")) != ""))
     new = {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return rows.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(changed, F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc_n_chars"))
+    return rows.where(~changed | (_trim(F.col("_clean")) != "")).select(*original(docs, **new))

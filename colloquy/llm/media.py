@@ -16,20 +16,20 @@ import hashlib
 import io
 import wave
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.common import map_texts
+
 BLOCK, RATE = 192, 8000
 FRAME, HOP = 256, 128
 BANDS = ((2, 8), (8, 20), (20, 48), (48, 128))
 FAN_OUT, MAX_GAP, STANDOUT = 3, 32, 2.0
 CHUNK_FRAMES = 4096
 COLUMNS = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+    "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
     "n_frames long, n_peaks long, times array<int>, codes array<int>"
 )
 
@@ -104,19 +104,12 @@ def describe(text: str | None) -> tuple:
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Media facts and time-coded fingerprint of every document: see COLUMNS."""
-    names = [c.split()[0] for c in COLUMNS.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.iloc[at : at + 200]
-                rows = [(i, *describe(t)) for i, t in zip(part["doc_id"].astype("Int64"), part["text"], strict=True)]
-                out = pd.DataFrame(rows, columns=names)
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, COLUMNS)
+    """Media facts and time-coded fingerprint of every document: doc_id and COLUMNS."""
+
+    def told(texts: list) -> tuple[None, list[list]]:
+        return None, [list(c) for c in zip(*map(describe, texts), strict=True)] if texts else [[]] * len(COLUMNS.split(", "))
+
+    return map_texts(docs, lambda: told, COLUMNS, keep=["doc_id"])
 
 
 def feature_digest() -> Column:

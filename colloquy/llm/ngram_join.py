@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut, drop, may_match, partitions
+from colloquy.llm.common import cut, drop, kept, map_texts, may_match, partitions
 from colloquy.llm.components import connected_components
 
 WORD = re.compile(r"[^\W_]+")
@@ -42,7 +42,7 @@ HASHES, TREES, DEPTH, RECALL = 128, 32, 8, 0.999
 BLOCK = 128
 #: Bands of set sizes; a match is in the same band or the next one, as the step is wider than 1 / THRESHOLD.
 BAND_STEP = 1.01 / THRESHOLD
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 _ODD = np.random.default_rng(20).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -61,15 +61,12 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
-
-
 def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of the text's shingles."""
     words = WORD.findall(text.lower()) if text else []
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(kept("word hashes", _WordHashes).__getitem__, words), np.uint64, len(words))
     n = min(n, len(words))
     out = np.zeros(len(words) - n + 1, np.uint64)
     for k in range(n):
@@ -108,21 +105,18 @@ def _digest(hashes: np.ndarray) -> bytes:
 
 def sketch(docs: DataFrame, prefix: int, trees: int = TREES) -> DataFrame:
     """doc_id, digest of the shingle set, its size, tree keys; no digest for texts without words."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                rows = []
-                for text in part["text"]:
-                    h = shingles(text)
-                    rows.append((_digest(h), len(h), tree_keys(h, prefix, trees)) if len(h) else (None, 0, None))
-                out = pd.DataFrame(rows, columns=["digest", "size", "keys"])
-                out.insert(0, "doc_id", part["doc_id"].array)
-                yield out
-
-    rows = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, digest binary, size long, keys array<long>")
+    def make():
+        def told(texts: list) -> tuple[None, list[list]]:
+            out = []
+            for text in texts:
+                h = shingles(text)
+                out.append((_digest(h), len(h), tree_keys(h, prefix, trees)) if len(h) else (None, 0, None))
+            return None, [list(c) for c in zip(*out, strict=True)] if out else [[], [], []]
+
+        return told
+
+    rows = map_texts(docs, make, "digest binary, size long, keys array<long>", keep=["doc_id"])
     return rows.withColumn("digest", F.when(F.col("doc_id").isNotNull(), F.col("digest")))
 
 

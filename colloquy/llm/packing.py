@@ -17,7 +17,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,11 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut, partitions
+from colloquy.llm.common import cut, kept, map_texts, partitions
 
 CAPACITY, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 200_000
 #: Texts of these characters are in normal form C and are lower-cased and split alike by the tokenizer and by PIECES.
 PLAIN = re.compile("[\t-\r\x20-\x7eÀ-įı-ſ]*")
 LETTERS = "a-zß-öø-ſ"
@@ -78,10 +77,9 @@ class Encoder:
         return b"".join(map(memo.__getitem__, words)) + self.end
 
 
-@functools.cache
 def encoder(path: str) -> Encoder:
     """One for each worker, so that a later task finds the words of earlier ones."""
-    return Encoder(path)
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 def _tokenizer_path(path: str | None) -> str:
@@ -94,22 +92,23 @@ def _tokenizer_path(path: str | None) -> str:
 
 def cut_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         encode = encoder(_tokenizer_path(tokenizer_path)).encode
-        for batch in batches:
+
+        def cut_texts(texts: list) -> tuple[list[int], list[list]]:
             rows = []
-            for k, text in enumerate(batch["text"]):
+            for k, text in enumerate(texts):
                 ids = encode(text or "")
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((k, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32"])
-            out.insert(0, "doc_id", batch["doc_id"].take(out.pop("k").to_numpy(np.int64)).array if len(out) else batch["doc_id"].iloc[:0].array)
-            yield out
+            index, *columns = map(list, zip(*rows, strict=True)) if rows else ([],) * 5
+            return index, columns
+
+        return cut_texts
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
+    return map_texts(docs, make, "piece int, start long, length long, ids_crc32 long", keep=["doc_id"])
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -17,8 +17,7 @@ def op2_url_filters(spark, sf_dir):
 
 
 def op3_line_dedup(spark, sf_dir):
-    rows = line_dedup.clean_lines(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.col("_n_removed").alias("n_removed"), F.col("_clean").alias("text"))
+    return line_dedup.clean_lines(table(spark, sf_dir, "documents"))
 
 
 def op4_toxicity(spark, sf_dir):

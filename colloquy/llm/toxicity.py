@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut, drop, id_crc
+from colloquy.llm.common import cut, drop, id_crc, map_texts, original, prefixed
 
 TOKEN = re.compile(r"[^\W_]+|[.!?;:\n\"“”«»]")
 WORD = re.compile(r"[^\W_]+")
@@ -44,7 +44,7 @@ PREFIXES = (6, 5, 4)
 MIN_LLR, MIN_ODDS, MIN_CONTEXTS, MIN_WORDS, MIN_DOCUMENTS = 16.0, 20.0, 8, 3, 5
 NEGATION_REACH, TARGET_REACH = 2, 4
 PRIOR_ROWS = 5.0
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 INSULTS = frozenset(
     "idiot idiots stupid moron morons loser losers pathetic scum worthless trash clown disgusting dumb imbecile "
@@ -252,16 +252,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(grammar)
-        for batch in batches:
-            yield batch[["doc_id", "held_out"]].assign(score=[scorer.score(t) for t in batch["text"]])
-
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    scored = rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
+    scored = map_texts(rows, lambda: _scores(grammar), "score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def _scores(grammar: Grammar):
+    scorer = Scorer(grammar)
+    return lambda texts: (None, [[scorer.score(t) for t in texts]])
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> DataFrame:
     return score(docs, fit(docs, labels, rows_per_label))
 
@@ -270,10 +270,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PE
     """``docs`` without the rows whose text is predicted toxic."""
     grammar = fit(docs, labels, rows_per_label)
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(grammar)
-        for texts in batches:
-            yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
-
-    return docs.where(scores("text") < THRESHOLD)
+    own = prefixed(docs)
+    scored = map_texts(own, lambda: _scores(grammar), "_toxicity double", keep=own.columns, read=("_doc_text",))
+    return scored.where(F.col("_toxicity") < THRESHOLD).select(*original(docs))
