@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import UNSPECIFIED
+from colloquy.functions.text import UNSPECIFIED, let
 
 WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
@@ -83,12 +83,7 @@ def resolve_due_date(stated: Column, meeting_date: Column) -> Column:
     raw = F.trim(stated)
     low = F.regexp_replace(F.lower(raw), r"^[ .,]+|[ .,]+$", "")
     inputs = F.struct(raw.alias("raw"), low.alias("low"), meeting_date.cast("date").alias("d"))
-    return _let(inputs, lambda x: _let(_named_parts(x), lambda p: _due_date(x["raw"], x["low"], x["d"], p)))
-
-
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return let(inputs, lambda x: let(_named_parts(x), lambda p: _due_date(x["raw"], x["low"], x["d"], p)))
 
 
 def _named_parts(x: Column) -> Column:

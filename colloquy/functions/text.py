@@ -42,6 +42,11 @@ TITLES = ["mr", "mrs", "ms", "miss", "dr", "prof", "sir", "madam"]
 PLACEHOLDERS = ["unspecified", "unassigned", "unknown", "tbd", "n_a", "none"]
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, and that the expression holds once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalise_text(x: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(x, SPACE, " "))
@@ -108,18 +113,21 @@ def split_speaker(line: Column, lookup: Column | None = None) -> Column:
 
     ``lookup``: map of canonical names to known participants.
     """
-    whole = F.trim(line)
-    label, rest = F.trim(F.substring_index(line, ":", 1)), F.trim(F.substring(line, F.instr(line, ":") + 1, F.length(line)))
-    labelled = line.contains(":") & (label != "") & (rest != "") & (F.length(label) <= MAX_LABEL)
-    first = F.regexp_replace(F.lower(F.regexp_extract(label, r"^(\S+)", 1)), r"^[.,'’\-]+|[.,'’\-]+$", "")
-    shaped = label.rlike(NAME_SHAPED) & ~first.isin(NOT_A_NAME) & ~label.rlike(r"[.!?]$")
-    known = F.try_element_at(lookup, canonical_name(label)) if lookup is not None else F.lit(None).cast("string")
-    pair = lambda s, t: F.struct(s.alias("speaker"), t.alias("text"))
-    return (
-        F.when(labelled & known.isNotNull(), pair(known, rest))
-        .when(labelled & shaped, pair(label, rest))
-        .otherwise(pair(F.lit(None).cast("string"), whole))
+    parts = F.struct(
+        F.trim(line).alias("whole"), F.trim(F.substring_index(line, ":", 1)).alias("label"), F.trim(F.substring(line, F.instr(line, ":") + 1, F.length(line))).alias("rest"), line.contains(":").alias("colon")
     )
+    pair = lambda s, t: F.struct(s.alias("speaker"), t.alias("text"))
+
+    def judge(p: Column) -> Column:
+        label, rest = p["label"], p["rest"]
+        labelled = p["colon"] & (label != "") & (rest != "") & (F.length(label) <= MAX_LABEL)
+        first = F.regexp_replace(F.lower(F.regexp_extract(label, r"^(\S+)", 1)), r"^[.,'’\-]+|[.,'’\-]+$", "")
+        shaped = label.rlike(NAME_SHAPED) & ~first.isin(NOT_A_NAME) & ~label.rlike(r"[.!?]$")
+        known = F.try_element_at(lookup, canonical_name(label)) if lookup is not None else F.lit(None).cast("string")
+        speaker = F.when(labelled, F.coalesce(known, F.when(shaped, label)))
+        return let(F.struct(speaker.alias("s")), lambda x: pair(x["s"], F.when(x["s"].isNotNull(), rest).otherwise(p["whole"])))
+
+    return let(parts, judge)
 
 
 def speaker_lookup(participants: Column) -> Column:

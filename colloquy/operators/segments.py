@@ -95,13 +95,15 @@ def leading_defect(defects: Column) -> Column:
 
 def summarise_defects(defects: Column) -> Column:
     """One line that says why a source was refused; empty if nothing blocks."""
-    head = leading_defect(defects)
-    n = F.size(F.filter(defects, lambda d: d["severity"] == "error"))
-    line = F.concat(
-        head["code"], F.when(head["line_number"].isNotNull(), F.concat(F.lit(" at line "), head["line_number"].cast("string"))).otherwise(""),
-        F.lit(": "), head["detail"], F.when(n > 1, F.concat(F.lit(" (and "), (n - 1).cast("string"), F.lit(" more blocking)"))).otherwise(""),
-    )
-    return F.when(n > 0, line).otherwise("")
+    facts = F.struct(leading_defect(defects).alias("head"), F.size(F.filter(defects, lambda d: d["severity"] == "error")).alias("n"))
+
+    def line(x: Column) -> Column:
+        head, n = x["head"], x["n"]
+        at = F.when(head["line_number"].isNotNull(), F.concat(F.lit(" at line "), head["line_number"].cast("string"))).otherwise("")
+        more = F.when(n > 1, F.concat(F.lit(" (and "), (n - 1).cast("string"), F.lit(" more blocking)"))).otherwise("")
+        return F.when(n > 0, F.concat(head["code"], at, F.lit(": "), head["detail"], more)).otherwise("")
+
+    return tx.let(facts, line)
 
 
 def silent_participants(sources: DataFrame, segments: DataFrame) -> DataFrame:
