@@ -148,6 +148,41 @@ def usage_summary(calls: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return told.withColumns({"cache_hit_rate": rate(F.col("cache_hits")), "retry_rate": rate(F.col("attempts") - F.col("calls"))})
 
 
-def markdown_list(items: Column) -> Column:
-    """Markdown bullets of an array of strings."""
-    return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
+def _cited(x: Column, note: Column) -> Column:
+    """A line with its citation: text, quote, who and when."""
+    who = F.coalesce(x["speaker"], F.lit("unattributed"))
+    when = F.coalesce(F.concat(F.lit(" at "), x["timestamp"]), F.lit(""))
+    return F.concat(F.lit("- "), x["text"], F.lit('\n  > "'), x["quote"], F.lit('"\n  — '), who, when, F.lit(" · "), note)
+
+
+def render_digests(lines: DataFrame, scopes: DataFrame, day) -> DataFrame:
+    """scope_key, markdown of each scope.  ``lines``: digest_sections() with text, quote, speaker, timestamp;
+    a scope without lines says so."""
+    line = F.struct("position", "text", "quote", "speaker", "timestamp", "because")
+    parts = lines.groupBy("scope_key").agg(*[F.array_sort(F.collect_list(F.when(F.col("section") == name, line))).alias(name) for name, _ in SECTIONS])
+    rows = scopes.join(parts, "scope_key", "left")
+    titles = (("moved", "Moved", "Nothing moved."), ("attention", "Needs attention", "Nothing outstanding."), ("to_decide", "To decide", "Nothing waiting on a decision."))
+
+    def section(name: str, title: str, blank: str) -> Column:
+        body = F.array_join(F.transform(name, lambda x: _cited(x, x["because"])), "\n")
+        return F.concat(F.lit(f"## {title}\n\n"), F.when(F.size(name) > 0, body).otherwise(f"_{blank}_"), F.lit("\n"))
+
+    body = F.when(F.col("moved").isNull(), F.lit("Nothing approved in scope for this day.")).otherwise(F.concat_ws("\n", *[section(*t) for t in titles]))
+    return rows.select("scope_key", F.concat(F.lit("# "), F.col("scope_title"), F.lit(f" — {day}\n\n"), body).alias("markdown"))
+
+
+def render_person_digests(lines: DataFrame, people: DataFrame, day) -> DataFrame:
+    """person_key, markdown of each person with commitments.  ``lines``: person_digests() with quote, speaker, timestamp."""
+    dated = F.col("due_date") != UNSPECIFIED
+    line = F.struct("position", "text", "quote", "speaker", "timestamp", "owner_as_stated", "due_date")
+    parts = lines.groupBy("person_key").agg(F.count("*").alias("n"), *[F.array_sort(F.collect_list(F.when(c, line))).alias(name) for name, c in (("dated", dated), ("undated", ~dated))])
+    rows = people.join(parts, "person_key")
+    owner = lambda x: F.when(F.col("person_key") == "unassigned", F.lit("assignee UNSPECIFIED")).otherwise(F.concat(F.lit("owner as stated: "), x["owner_as_stated"]))
+
+    def section(name: str, title: str) -> Column:
+        body = F.array_join(F.transform(name, lambda x: _cited(x, F.concat(F.lit("due "), x["due_date"], F.lit(", "), owner(x)))), "\n")
+        return F.when(F.size(name) > 0, F.concat(F.lit(f"## {title}\n\n"), body, F.lit("\n")))
+
+    grouped = F.when(F.col("ambiguous"), F.concat(F.lit("_Grouped by first name: "), F.array_join("aliases", ", "), F.lit("._\n")))
+    head = F.concat(F.lit("# "), F.col("display_name"), F.lit(f" — {day}\n\n"), F.col("n").cast("string"), F.lit(" approved commitments.\n"))
+    return rows.select("person_key", F.concat_ws("\n", head, grouped, section("dated", "With a date"), section("undated", "No date stated")).alias("markdown"))

@@ -225,3 +225,15 @@ def test_records_and_recaps(spark):
     assert [(x["id"], x["approved_by"], x["edited_by_reviewer"]) for x in got[0]["actions"]] == [("1", "Zoe", True)] and not got[0]["risks"][0]["edited_by_reviewer"]
     body = {r["source_id"]: r["body"] for r in rollups.followup_drafts(own, sources).collect()}["s"]
     assert body.startswith("# Recap: Title\n\n_Meeting held 2024-01-01.") and "- w\n  Bo · no date stated\n  > \"q1\"\n  — Ann at 00:01:00" in body and body.index("committed") < body.index("Risks")
+
+
+def test_digests_are_rendered(spark):
+    lines = spark.createDataFrame([("c", "attention", 1, "late", "q", None, "00:01:00", "blocker"), ("c", "attention", 2, "x", "r", "Bo", None, "blocker")], "scope_key string, section string, position int, text string, quote string, speaker string, timestamp string, because string")
+    scopes = spark.createDataFrame([("c", "#c"), ("d", "#d")], "scope_key string, scope_title string")
+    got = {r["scope_key"]: r["markdown"] for r in rollups.render_digests(lines, scopes, "2024-01-02").collect()}
+    assert got["d"].endswith("Nothing approved in scope for this day.")
+    assert got["c"].startswith("# #c — 2024-01-02") and "_Nothing moved._" in got["c"] and '- late\n  > "q"\n  — unattributed at 00:01:00 · blocker\n- x' in got["c"]
+    own = spark.createDataFrame([("bo", 1, "w", "q", "Ann", None, "Bo Li", "2024-02-01"), ("bo", 2, "v", "r", "Ann", None, "bo", "UNSPECIFIED")], "person_key string, position int, text string, quote string, speaker string, timestamp string, owner_as_stated string, due_date string")
+    people = spark.createDataFrame([("bo", "Bo Li", ["Bo Li", "bo"], False), ("al", "Al", ["Al"], False)], "person_key string, display_name string, aliases array<string>, ambiguous boolean")
+    told = {r["person_key"]: r["markdown"] for r in rollups.render_person_digests(own, people, "2024-01-02").collect()}
+    assert list(told) == ["bo"] and told["bo"].index("With a date") < told["bo"].index("No date stated") and "due 2024-02-01, owner as stated: Bo Li" in told["bo"]
