@@ -27,7 +27,8 @@ def work_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="colloquy_")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
@@ -85,12 +86,12 @@ def kept(name: str, make: Callable[[], object]) -> object:
     """
     if name not in _KEPT:
         _KEPT.clear()
-        _give_back()
+        give_back()
         _KEPT[name] = make()
     return _KEPT[name]
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system; the allocators would hold it for a next time."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -118,6 +119,7 @@ def map_texts(rows: DataFrame, make: Callable[[], TextFunction], added: str, kee
     types = [f.type for f in to_arrow_schema(new)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what another operator's task has left
         function = make()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
@@ -127,7 +129,7 @@ def map_texts(rows: DataFrame, make: Callable[[], TextFunction], added: str, kee
                 made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*same, *made], names=schema.names)
         function = None
-        _give_back()
+        give_back()
 
     return rows.select(*dict.fromkeys([*keep, *read])).mapInArrow(run, schema)
 

@@ -197,7 +197,11 @@ def _pass(rows: DataFrame, text: str, items: list[tuple[str | None, str]], windo
 
 def _search(docs: DataFrame, text: str, benchmark: DataFrame, window: int, shard_bytes: int) -> DataFrame:
     """``docs`` with _found over all shards."""
-    first, *more = shards(benchmark, shard_bytes)
+    return _passes(docs, text, shards(benchmark, shard_bytes), window)
+
+
+def _passes(docs: DataFrame, text: str, parts: list[list[tuple[str | None, str]]], window: int) -> DataFrame:
+    first, *more = parts
     rows = _pass(docs, text, first, window)
     for items in more:
         rows = _pass(rows.withColumnRenamed("_found", "_before"), text, items, window)
@@ -240,15 +244,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     Columns stay as they are; ``n_chars``, where there is one, follows the text.
     """
-    rows = _search(prefixed(docs), "_doc_text", benchmark, window, shard_bytes)
-    hit = F.aggregate("_found.spans", F.lit(0), lambda s, x: s + x["b"] - x["a"])
-    rows = rows.where((hit == 0) | (hit <= max_coverage * F.col("_found.n_words"))).withColumn("_spans", F.col("_found.spans")).drop("_found")
+    # all shards but the last are searched first; the last one's pass also cuts, in the same worker
+    *before, last = shards(benchmark, shard_bytes)
+    rows = prefixed(docs)
+    own = rows.columns
+    earlier = _passes(rows, "_doc_text", before, window) if before else rows.withColumn("_found", F.lit(None).cast(FOUND.removeprefix("_found ")))
+
+    def make():
+        found = detector(last, window)
+
+        def cleaned(texts: list, told: list) -> tuple[None, list[list]]:
+            out = []
+            for t, x in zip(texts, told, strict=True):
+                words = words_of(t)
+                spans = merge(found.find(words)[0] + [(s["a"], s["b"]) for s in (x["spans"] if x else [])])
+                hit = sum(b - a for a, b in spans)
+                out.append((remove_words(t, spans) if spans else t, hit, hit > max_coverage * len(words)))
+            return None, [list(c) for c in zip(*out, strict=True)] if out else [[], [], []]
 
-    def cleaned(texts: list, spans: list) -> tuple[None, list[list]]:
-        return None, [[remove_words(t, [(s["a"], s["b"]) for s in x]) if x else t for t, x in zip(texts, spans, strict=True)]]
+        return cleaned
 
-    rows = map_texts(rows, lambda: cleaned, "_clean string", keep=rows.columns, read=("_doc_text", "_spans"))
+    rows = map_texts(earlier, make, "_clean string, _hit long, _gone boolean", keep=own, read=("_doc_text", "_found")).where(~F.col("_gone"))
     new = {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.size("_spans") > 0, F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc_n_chars"))
+        new["n_chars"] = F.when(F.col("_hit") > 0, F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc_n_chars"))
     return rows.select(*original(docs, **new))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut, drop, kept, map_texts, may_match, partitions
+from colloquy.llm.common import cut, drop, give_back, kept, map_texts, may_match, partitions
 from colloquy.llm.components import connected_components
 
 WORD = re.compile(r"[^\W_]+")
@@ -216,6 +216,7 @@ def _compare(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.D
             yield pd.concat(found)
     if rest is not None and (last := judged(rest)) is not None:
         yield last
+    give_back()
 
 
 def _verified(docs: DataFrame, blocks: DataFrame, threshold: float) -> DataFrame:
@@ -230,6 +231,7 @@ def _verified(docs: DataFrame, blocks: DataFrame, threshold: float) -> DataFrame
                     if _digest(h) == bytes(r.digest):  # another text may have the same id
                         rows += [(r.family, p["pair"], p["side"], r.doc, r.copies, h.tobytes()) for p in r.pairs]
                 yield pd.DataFrame(rows, columns=["family", "pair", "side", "doc", "copies", "hashes"])
+        give_back()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     # texts of members only are moved, and always by an exchange: what is written grows with the input

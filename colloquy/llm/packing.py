@@ -30,7 +30,7 @@ from colloquy.llm.common import cut, kept, map_texts, partitions
 
 CAPACITY, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 #: Texts of these characters are in normal form C and are lower-cased and split alike by the tokenizer and by PIECES.
 PLAIN = re.compile("[\t-\r\x20-\x7eÀ-įı-ſ]*")
 LETTERS = "a-zß-öø-ſ"

@@ -67,7 +67,9 @@ def test_cleaning(make, spark):
     item = " ".join(f"Item{k}" for k in range(12))
     rows = [(1, f"Before it, {item}; after."), (2, item), (3, "nothing here"), (4, None), (5, ""), (5, ""), (None, f"x {item} y")]
     rows = [(d, t + " filler" * 8 if t and d in (1, None) else t) for d, t in rows]
+    sharded = dc.decontaminate(make(rows), bench(spark, [(1, item), (2, "other words"), (3, "and more")]), shard_bytes=10)
     out = dc.decontaminate(make(rows), bench(spark, [(1, item)]))
+    assert sorted(map(str, sharded.collect())) == sorted(map(str, out.collect()))
     assert out.columns == make(rows).columns
     got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
     want = [(1, "Before it, ; after." + " filler" * 8), (3, "nothing here"), (4, None), (5, ""), (5, ""), (None, "x  y" + " filler" * 8)]
