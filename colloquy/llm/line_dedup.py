@@ -1,16 +1,18 @@
 """Removal of passages that repeat across documents, with DataFrame functions only.
 
-A text is a list of lines; a line ends at a line break or, as running text seldom has any, after a
-sentence.  A rolling hash over the hashes of two lines decides where a chunk of lines ends, so that
-equal passages have equal boundaries wherever they stand.  Chunks of two lines and more (or of one very
-long line) that occur again are compared byte by byte with their first occurrence, and the
-match is extended line by line on both sides, again by comparing bytes.  Matched lines are removed if
-together, in one run, they have ``min_run`` characters, as some 40 words have.  The first occurrence, in order of id and place,
-stays: every removed line has an equal one at a smaller place.
-
-Tables that are moved by chunk hash hold numbers only; the bytes of a chunk are fetched for repeated
-ones.  A passage in a third of all documents is one row in the table of first occurrences, and its
-occurrences are joined to that row by a join that Spark can split.
+A text is a list of words; a word ends at a space, a tab or a line break, and one of over LONG_WORD
+characters, as in scripts without spaces, is taken character by character.  Of any WINDOW successive
+chunks of CHUNK words at least one is kept, chosen by their words alone, so that two equal stretches of
+CHUNK + WINDOW - 1 words, wherever they begin and end, have at least one kept chunk in common.  Chunks
+that touch and occur again at one distance from their first occurrences are one piece, which is compared
+by its SHA-256 with that of its first occurrence; the match is extended word by word on both sides, by
+comparing the words.  Matched words are removed if together, in one run, they have ``min_run`` characters
+or MIN_WORDS words.  The first occurrence, in order of id and place, stays: every removed word has an
+equal one at a smaller place.
+
+Tables that are moved by chunk hash hold numbers only; words are fetched for the pieces.  A passage in a
+third of all documents is one row in the table of first occurrences, and its occurrences are joined to
+that row by a join that Spark can split.
 
 Cases: a null text stays null; an empty one stays empty; rows without id stay as they are and count
 nowhere; repeated rows (equal id and text) are decided alike and keep what the first keeps; an empty
@@ -19,6 +21,8 @@ table gives an empty result; other columns are ignored, or kept as they are by `
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,73 +31,116 @@ from colloquy.llm.common import cut, drop, may_match, original, prefixed
 #: Splits nothing off: a line keeps its break, and the lines joined are the text.
 LINE_END = r"(?<=\n)|(?<=[.] )"
 ENDS, MARK = ("\n", ". "), "\x00"
-#: Three bits of the rolled hash tell whether a chunk ends: five of eight lines end one.
-END_BITS, ENDING = 20, 5
-#: Least number of characters of a chunk of several lines, of a lone line, and of a run that goes.
-MIN_CHUNK, LONG_LINE, MIN_RUN = 40, 200, 200
-#: Lines looked at on each side of a chunk when its match is extended.
-REACH = 8
+BLANKS, BLANK_END = " \n\r\t", r"(?<=[ \n\r\t])"
+#: Words of a chunk, and chunks of which one is kept: 23 equal words have one in common.  The chunks that
+#: are kept touch, as WINDOW is not above CHUNK.
+CHUNK, WINDOW = 12, 12
+#: One of so many chunks (a power of two) is kept by what its first words say.
+KEPT_OF = 8
+#: Characters of a word, if it is not to be taken character by character.
+LONG_WORD = 32
+#: Least number of characters, or of words, of a run that goes.
+MIN_RUN, MIN_WORDS = 200, 50
+#: Words looked at on each side of a piece when its match is extended; beyond them is the next chunk.
+REACH = CHUNK + WINDOW
+#: Low bits of a chunk's hash that make room for its place.
+PLACE_BITS = 24
 
 KEY = ["doc_id", "_th"]
+FIRST = ["f_doc_id", "f_th"]
 
 
-def lines(text: Column) -> Column:
-    """Lines with their ends.  A mark is put behind every end, and a plain split at it is much faster than
+def _split_behind(text: Column, ends: tuple[str, ...], pattern: str) -> Column:
+    """Parts with their ends.  A mark is put behind every end, and a plain split at it is much faster than
     looking behind every character; a text that holds the mark is split by the pattern."""
     marked = text
-    for end in ENDS:
+    for end in ends:
         marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
-    return F.when(text.contains(MARK), F.split(text, LINE_END, -1)).otherwise(F.split(marked, MARK, -1))
+    return F.when(text.contains(MARK), F.split(text, pattern, -1)).otherwise(F.split(marked, MARK, -1))
+
+
+def lines(text: Column) -> Column:
+    """Lines with their ends."""
+    return _split_behind(text, ENDS, LINE_END)
 
 
 def _trim(line: Column) -> Column:
-    return F.trim(line, F.lit(" \n\r\t"))
+    return F.trim(line, F.lit(BLANKS))
+
+
+def _long_words_split(text: Column, parts: Column) -> Column:
+    """``parts`` with every character of a long word on its own; what follows the word stays behind its last one."""
+    def characters(p: Column) -> Column:
+        n = F.length(_trim(p))
+        each = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(p, i, F.when(i < n, 1).otherwise(2)))
+        return F.when(n > LONG_WORD, each).otherwise(F.array(p))
+
+    return F.when(text.rlike(f"[^{BLANKS}]{{{LONG_WORD + 1}}}"), F.flatten(F.transform(parts, characters))).otherwise(parts)
+
+
+def tokens(text: Column) -> Column:
+    """Words with what ends them; joined they are the text."""
+    return _long_words_split(text, _split_behind(text, tuple(BLANKS), BLANK_END))
+
+
+def words(text: Column) -> Column:
+    """``tokens`` without what ends them."""
+    spaced = text
+    for blank in BLANKS[1:]:
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
+    return _long_words_split(text, F.split(spaced, " ", -1))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("_th"), "text")
 
 
-def _chunk_array() -> Column:
-    """Chunks (s, e, h): places from 1, both inclusive, and the hash of their lines.
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
-    A boundary is behind a line if the hash rolled over that line and the next one says so.  Chunks are
-    what lies between boundaries and, as a short passage may hold only one, the two lines at each.
-    """
-    n = F.size("hashes")
 
-    def ends_here(i: Column) -> Column:
-        rolled = F.element_at("hashes", i).bitwiseXOR(F.shiftleft(F.element_at("hashes", F.least(i + 1, n)), 7))
-        return (i < n) & (F.shiftright(rolled, END_BITS).bitwiseAND(F.lit(7)) < ENDING)
+def _chunk_array(hashes: Column) -> Column:
+    """Chunks (s, h) of hashed words: places from 1 and the hash of the words.
 
-    inner = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), ends_here)
-    span = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
-    between = F.zip_with(F.concat(F.array(F.lit(1)), F.transform(inner, lambda e: e + 1)), F.concat(inner, F.array(n)), span)
-    # one chunk of one short line is left out before anything is computed for it
-    between = F.filter(between, lambda c: (c["e"] > c["s"]) | (F.element_at("sizes", c["s"]) >= LONG_LINE))
-    spans = F.concat(between, F.transform(inner, lambda e: span(e, e + 1)))
+    A chunk is kept if its first two words say so and, where WINDOW successive ones are not, if it is the
+    smallest of these; the first one of equals.  Both depend on nothing outside the WINDOW.
+    """
+    starts = F.size(hashes) - CHUNK + 1
+    at = lambda i: F.element_at(hashes, i)
+    says_so = lambda i: at(i).bitwiseXOR(F.shiftleft(at(i + 1), 7)).bitwiseAND(F.lit(KEPT_OF - 1)) == 0
+    of_words = lambda s: F.xxhash64(*[at(s + i) for i in range(CHUNK)])
+    # no two are equal, as the place is in the low bits
+    placed = lambda i: F.shiftleft(F.shiftright(at(i), PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long"))
+
+    def smallest(gap: Column) -> Column:
+        window = lambda values: F.transform(
+            F.sequence(F.lit(1), F.size(values) - WINDOW + 1), lambda i: F.least(*[F.element_at(values, i + k) for k in range(WINDOW)])
+        )
+        found = _let(F.transform(F.sequence(gap["a"], gap["b"]), placed), lambda values: F.array_distinct(window(values)))
+        return F.transform(found, lambda v: v.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"))
 
-    def chunk(c: Column) -> Column:
-        size = F.aggregate(F.slice("sizes", c["s"], c["e"] - c["s"] + 1), F.lit(0), lambda n, w: n + w)
-        return F.struct(c["s"].alias("s"), c["e"].alias("e"), F.xxhash64(F.slice("hashes", c["s"], c["e"] - c["s"] + 1)).alias("h"), size.alias("size"))
+    def places(said: Column) -> Column:
+        gaps = F.zip_with(F.concat(F.array(F.lit(0)), said), F.concat(said, F.array(starts + 1)), lambda x, y: F.struct((x + 1).alias("a"), (y - 1).alias("b")))
+        return F.concat(said, F.flatten(F.transform(F.filter(gaps, lambda g: g["b"] - g["a"] + 1 >= WINDOW), smallest)))
 
-    return F.filter(F.transform(spans, chunk), lambda c: c["size"] >= MIN_CHUNK)
+    kept = _let(F.filter(F.sequence(F.lit(1), starts), says_so), places)
+    return F.when(starts > 0, F.transform(kept, lambda s: F.struct(s.alias("s"), of_words(s).alias("h"))))
 
 
-def _chunks(hashed: DataFrame) -> DataFrame:
-    """doc_id, _th, s, e, h of every chunk that may be removed."""
-    return hashed.select(*KEY, F.explode(_chunk_array()).alias("c")).select(*KEY, "c.s", "c.e", "c.h")
+def _chunks(keyed: DataFrame) -> DataFrame:
+    """doc_id, _th, s, h of every chunk."""
+    hashes = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
+    return keyed.select(*KEY, F.explode(_let(hashes, _chunk_array)).alias("c")).select(*KEY, "c.s", "c.h")
 
 
-def _around(s: Column, e: Column, left: Column, right: Column) -> list[Column]:
-    """Bytes of a chunk and of the lines around it, nearest first; ``left``, ``right``: whether they are looked at."""
+def _around(s: Column, e: Column) -> list[Column]:
+    """Digest of a piece, and the words around it, nearest first."""
     start = F.greatest(s - REACH, F.lit(1))
-    none = F.array().cast("array<string>")
-    cut_out = lambda a, n: F.transform(F.slice("lines", a, F.greatest(n, F.lit(0))), _trim)
     return [
-        F.when(left, F.reverse(cut_out(start, s - start))).otherwise(none).alias("before"),
-        F.array_join(cut_out(s, e - s + 1), "\n").alias("bytes"),
-        F.when(right, cut_out(e + 1, F.least(F.lit(REACH), F.size("lines") - e))).otherwise(none).alias("after"),
+        F.reverse(F.slice("words", start, s - start)).alias("before"),
+        F.unhex(F.sha2(F.array_join(F.slice("words", s, e - s + 1), " ").cast("binary"), 256)).alias("digest"),
+        F.slice("words", e + 1, F.lit(REACH)).alias("after"),
     ]
 
 
@@ -104,46 +151,45 @@ def _equal_first(a: Column, b: Column) -> Column:
     return F.when(differ > 0, differ - 1).otherwise(n).cast("int")
 
 
+def _told(keyed: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``pieces`` (doc_id, _th, s, e), each once, with digest, before and after."""
+    wanted = cut(pieces.groupBy(*KEY).agg(F.collect_set(F.struct("s", "e")).alias("wanted")), "lines_wanted")
+    # repeated rows are one here; the join keeps the grouping's partitioning
+    texts = may_match(keyed, wanted, KEY).where("_maybe").groupBy(*KEY).agg(F.any_value("text").alias("text"))
+    told = texts.join(wanted.hint("merge"), KEY).select(*KEY, words(F.col("text")).alias("words"), "wanted").select(*KEY, "words", F.explode("wanted").alias("x"))
+    return told.select(*KEY, F.col("x.s").alias("s"), F.col("x.e").alias("e"), *_around(F.col("x.s"), F.col("x.e")))
+
+
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, _th, runs: for each document with repeats, the runs (s, e) of lines that an earlier place has too."""
+    """doc_id, _th, runs: for each document with repeats, the runs (s, e) of words that an earlier place has too."""
     keyed = _keyed(docs)
-    units = lines(F.col("text"))
-    hashed = keyed.select(*KEY, F.transform(F.transform(units, _trim), lambda u: F.struct(F.xxhash64(u).alias("h"), F.length(u).alias("n"))).alias("u"))
-    hashed = cut(hashed.select(*KEY, F.col("u.h").alias("hashes"), F.col("u.n").alias("sizes")), "lines_hashed")
-    chunks = cut(_chunks(hashed), "lines_chunks")
-    place = F.struct("doc_id", "_th", "s", "e")
-    firsts = chunks.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    chunks = cut(_chunks(keyed), "lines_chunks")
+    place = F.struct(*KEY, "s")
+    firsts = chunks.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "first")
     firsts = cut(firsts, "lines_firsts")
     # repeated rows tell each repeat several times
-    repeats = chunks.join(firsts, "h").where(~(place == F.col("first"))).select(*KEY, "s", "e", "h").distinct()
-    # only the outer ends of neighbouring repeats need extending
-    by_place = Window.partitionBy(*KEY).orderBy("s", "e")
-    reached = F.max("e").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    repeats = cut(
-        repeats.select(
-            *KEY, "s", "e", "h", F.lit(False).alias("is_first"),
-            (~F.coalesce(reached >= F.col("s") - 1, F.lit(False))).alias("left"), (~F.coalesce(F.lead("s").over(by_place) <= F.col("e") + 1, F.lit(False))).alias("right"),
-        ),
-        "lines_repeats",
-    )
-    ends = cut(repeats.groupBy("h").agg(F.bool_or("left").alias("left"), F.bool_or("right").alias("right")), "lines_ends")
-    own = firsts.join(ends, "h").select("first.doc_id", "first._th", "first.s", "first.e", "h", F.lit(True).alias("is_first"), "left", "right")
-    wanted = repeats.unionByName(own).groupBy(*KEY).agg(F.collect_list(F.struct("s", "e", "h", "is_first", "left", "right")).alias("wanted"))
-    wanted = cut(wanted, "lines_wanted")
-    drop(hashed, chunks, firsts, repeats, ends)
-    # repeated rows are one here; the join keeps the grouping's partitioning
-    texts = may_match(keyed, wanted, KEY).where("_maybe").groupBy(*KEY).agg(F.any_value("text").alias("text"))
-    told = texts.join(wanted.hint("merge"), KEY).select(*KEY, lines(F.col("text")).alias("lines"), "wanted").select(*KEY, "lines", F.explode("wanted").alias("x"))
-    x = F.col("x")
-    told = told.select(*KEY, x["s"].alias("s"), x["e"].alias("e"), x["h"].alias("h"), x["is_first"].alias("is_first"), *_around(x["s"], x["e"], x["left"], x["right"]))
-    told = cut(told, "lines_bytes")
-    first = told.where("is_first").select("h", *[F.col(c).alias(f"first_{c}") for c in ("bytes", "before", "after")])
-    same = told.where(~F.col("is_first")).join(first, "h").where("bytes = first_bytes")
+    repeats = chunks.join(firsts, "h").where(place != F.col("first"))
+    repeats = repeats.select(*KEY, "s", F.col("first.doc_id").alias("f_doc_id"), F.col("first._th").alias("f_th"), (F.col("first.s") - F.col("s")).alias("off")).distinct()
+    # overlapping chunks at one distance from their first occurrences are one piece
+    along = Window.partitionBy(*KEY, *FIRST, "off").orderBy("s")
+    opened = repeats.withColumn("opens", F.coalesce(F.lag("s").over(along) < F.col("s") - CHUNK, F.lit(True)).cast("int"))
+    numbered = opened.withColumn("piece", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = numbered.groupBy(*KEY, *FIRST, "off", "piece").agg(F.min("s").alias("s"), (F.max("s") + CHUNK - 1).alias("e"))
+    pieces = cut(pieces.select(*KEY, *FIRST, "off", "s", "e"), "lines_pieces")
+    drop(chunks, firsts)
+    at_first = pieces.select(F.col("f_doc_id").alias("doc_id"), F.col("f_th").alias("_th"), (F.col("s") + F.col("off")).alias("s"), (F.col("e") + F.col("off")).alias("e")).distinct()
+    told = cut(_told(keyed, pieces.select(*KEY, "s", "e").unionByName(at_first)), "lines_told")
+    own = pieces.join(told, [*KEY, "s", "e"])
+    first = told.select(
+        F.col("doc_id").alias("f_doc_id"), F.col("_th").alias("f_th"), F.col("s").alias("f_s"), F.col("e").alias("f_e"), *[F.col(c).alias(f"first_{c}") for c in ("digest", "before", "after")]
+    )
+    same = own.withColumns({"f_s": F.col("s") + F.col("off"), "f_e": F.col("e") + F.col("off")}).join(first, [*FIRST, "f_s", "f_e"]).where("digest = first_digest")
     found = same.select(
         *KEY, (F.col("s") - _equal_first(F.col("before"), F.col("first_before"))).alias("s"), (F.col("e") + _equal_first(F.col("after"), F.col("first_after"))).alias("e")
     )
     found = cut(found.distinct(), "lines_found")
-    drop(wanted, told)
+    drop(pieces, told)
+    by_place = Window.partitionBy(*KEY).orderBy("s", "e")
     reached = F.max("e").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     opened = found.withColumn("opens", F.coalesce(reached < F.col("s") - 1, F.lit(True)).cast("int"))
     numbered = opened.withColumn("run", F.sum("opens").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
@@ -152,25 +198,26 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
 
 def _cleaned(docs: DataFrame, min_run: int) -> DataFrame:
-    """Prefixed ``docs`` with _clean (the text that is left) and _n_removed (lines)."""
+    """Prefixed ``docs`` with _clean (the text that is left) and _n_removed (lines, whole or in part)."""
     runs = repeated_runs(docs)
     marked = may_match(prefixed(docs).withColumns({"doc_id": F.col("_doc_doc_id"), "_th": F.xxhash64("_doc_text")}), runs, KEY)
     text = F.col("_doc_text")
     own = [c for c in marked.columns if c.startswith("_doc_")]
     rest = marked.where(~F.col("_maybe") | text.isNull()).select(*own, text.alias("_clean"), F.lit(0).cast("long").alias("_n_removed"))
-    rows = marked.where(F.col("_maybe") & text.isNotNull()).join(runs.hint("merge"), KEY, "left").withColumn("_lines", lines(text))
-    size = lambda r: F.aggregate(F.slice("_lines", r["s"], r["e"] - r["s"] + 1), F.lit(0), lambda n, u: n + F.length(u))
-    rows = rows.withColumn("_runs", F.filter(F.coalesce("runs", F.array().cast("array<struct<s:int,e:int>>")), lambda r: size(r) >= min_run))
+    rows = marked.where(F.col("_maybe") & text.isNotNull()).join(runs.hint("merge"), KEY, "left").withColumn("_tokens", tokens(text))
+    passage = lambda r: F.array_join(F.slice("_tokens", r["s"], r["e"] - r["s"] + 1), "")
+    goes = lambda r: (r["e"] - r["s"] + 1 >= MIN_WORDS) | (F.length(passage(r)) >= min_run)
+    rows = rows.withColumn("_runs", F.filter(F.coalesce("runs", F.array().cast("array<struct<s:int,e:int>>")), goes))
     starts = F.concat(F.array(F.lit(1)), F.transform("_runs", lambda r: r["e"] + 1))
-    ends = F.concat(F.transform("_runs", lambda r: r["s"] - 1), F.array(F.size("_lines")))
-    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("_lines", a, F.greatest(b - a + 1, F.lit(0)))))
-    removed = F.aggregate("_runs", F.lit(0), lambda n, r: n + r["e"] - r["s"] + 1)
+    ends = F.concat(F.transform("_runs", lambda r: r["s"] - 1), F.array(F.size("_tokens")))
+    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("_tokens", a, F.greatest(b - a + 1, F.lit(0)))))
+    removed = F.aggregate("_runs", F.lit(0), lambda n, r: n + F.size(F.filter(lines(passage(r)), lambda u: u != "")))
     rows = rows.select(*own, F.when(F.size("_runs") > 0, F.array_join(kept, "")).otherwise(text).alias("_clean"), removed.cast("long").alias("_n_removed"))
     return rest.unionByName(rows)
 
 
 def clean_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """doc_id, n_removed (lines) and the text that is left of every document."""
+    """doc_id, n_removed (lines, whole or in part) and the text that is left of every document."""
     return _cleaned(docs, min_run).select(F.col("_doc_doc_id").alias("doc_id"), F.col("_n_removed").alias("n_removed"), F.col("_clean").alias("text"))
 
 

@@ -78,3 +78,39 @@ def test_cases(make, spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "2", "3", "5", "None"]
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in kept.collect())
     assert ld.dedupe_lines(make([])).count() == 0
+
+
+def test_tokens_join_to_the_text_and_hold_the_words(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["a. b\nc. \n\n d.e. ", "", "\n", "x", "a\x00. b\tc", "x " + "y" * 40 + "\n\U0001f600z " + "\U0001f600中" * 30, "中" * 33 + "\x00 a"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = frame.select("t", ld.tokens(F.col("t")).alias("l"), ld.words(F.col("t")).alias("w")).collect()
+    assert all("".join(r["l"]) == r["t"] and [x.strip(" \n\r\t") for x in r["l"]] == r["w"] for r in got)
+    assert {r["t"]: len(r["w"]) for r in got}[texts[5]] == 1 + 40 + 1 + 60
+
+
+def in_words(n, rng, joint=" "):
+    return joint.join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(n))
+
+
+def test_passages_that_begin_and_end_inside_sentences_go(make):
+    rng = random.Random(11)
+    # without stops; with other ends of sentences; with stops, but cut off in the middle of sentences
+    kinds = [lambda: in_words(60, rng), lambda: "! ".join(in_words(9, rng) for _ in range(7)), lambda: "? ".join(in_words(9, rng) for _ in range(7)),
+             lambda: ". ".join(in_words(20, rng) for _ in range(3)), lambda: "\n".join(in_words(1, rng) for _ in range(60))]
+    shared = [k() for k in kinds for _ in range(8)]
+    around = lambda: in_words(rng.randint(3, 30), rng)
+    rows = [(k, around() + " ", s, " " + around()) for k, s in enumerate(shared * 2)]
+    got = cleaned(make, [(k, a + s + b) for k, a, s, b in rows])
+    for k, a, s, b in rows:
+        assert got[k]["text"].split() == ((a + s + b) if k < len(shared) else (a + b)).split(), k
+
+
+def test_scripts_without_spaces(make):
+    rng = random.Random(12)
+    signs = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(n))
+    shared = [signs(220) for _ in range(10)]
+    rows = [(k, signs(rng.randint(40, 90)), s, signs(50)) for k, s in enumerate(shared * 2)]
+    got = cleaned(make, [(k, a + s + b) for k, a, s, b in rows])
+    assert all(got[k]["text"] == (a + s + b if k < 10 else a + b) for k, a, s, b in rows)
