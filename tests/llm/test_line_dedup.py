@@ -114,3 +114,13 @@ def test_scripts_without_spaces(make):
     rows = [(k, signs(rng.randint(40, 90)), s, signs(50)) for k, s in enumerate(shared * 2)]
     got = cleaned(make, [(k, a + s + b) for k, a, s, b in rows])
     assert all(got[k]["text"] == (a + s + b if k < 10 else a + b) for k, a, s, b in rows)
+
+
+def test_passages_of_one_to_five_lines_go_every_time(make):
+    rng = random.Random(13)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 8))) for _ in range(n)) + "."
+    shared = [" ".join(line(36 // n + 1) for _ in range(n)) for n in range(1, 6) for _ in range(20)]
+    assert all(len(s) >= ld.MIN_RUN for s in shared)
+    rows = [(k, line(9) + " ", s, " " + line(7)) for k, s in enumerate(shared * 2)]
+    got = cleaned(make, [(k, a + s + b) for k, a, s, b in rows])
+    assert all(got[k]["text"].split() == (a + (s if k < len(shared) else "") + b).split() for k, a, s, b in rows)
