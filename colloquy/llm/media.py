@@ -53,6 +53,11 @@ def from_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
+def whole_frames(samples: np.ndarray) -> np.ndarray:
+    """Samples with silence behind them, so that the last ones are in a frame, too."""
+    return np.pad(samples, (0, max(FRAME - len(samples), -(len(samples) - FRAME) % HOP)), constant_values=128)
+
+
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Frames and bins of spectral peaks, in frame order, and the number of frames.
 
@@ -79,13 +84,15 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def pair_peaks(t: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of peak pairs and the frames of their first peaks: each peak with its next FAN_OUT ones."""
+    """Codes of peak pairs and the frames of their first peaks: each peak with the next FAN_OUT ones of later frames."""
     times, codes = [], []
-    for k in range(1, FAN_OUT + 1):
-        gap = t[k:] - t[:-k]
-        near = np.flatnonzero((gap > 0) & (gap <= MAX_GAP))
+    later = np.searchsorted(t, t, side="right")
+    for k in range(FAN_OUT):
+        near = np.flatnonzero(later + k < len(t))
+        near = near[t[later[near] + k] - t[near] <= MAX_GAP]
+        other = later[near] + k
         times.append(t[near])
-        codes.append((f[near] << 14) | (f[near + k] << 7) | gap[near])
+        codes.append((f[near] << 14) | (f[other] << 7) | (t[other] - t[near]))
     times, codes = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((codes, times))
     return times[order].astype(np.int32), codes[order].astype(np.int32)
@@ -95,7 +102,7 @@ def describe(text: str | None) -> tuple:
     data = (text or "").encode("utf-8", "surrogatepass")
     media = to_wav(pad(data))
     back = from_wav(media)
-    t, f, n_frames = peaks(np.frombuffer(back, np.uint8))
+    t, f, n_frames = peaks(whole_frames(np.frombuffer(back, np.uint8)))
     times, codes = pair_peaks(t, f)
     return (
         len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(),

@@ -63,3 +63,19 @@ def test_pairs():
     times, codes = media.pair_peaks(t, f)
     got = {(int(a), int(c) >> 14, (int(c) >> 7) & 127, int(c) & 127) for a, c in zip(times, codes, strict=True)}
     assert got == {(0, 3, 4, 1), (0, 3, 7, 5), (0, 9, 4, 1), (0, 9, 7, 5), (1, 4, 7, 4)}
+
+
+def test_last_samples_are_in_a_frame():
+    assert [len(media.whole_frames(np.zeros(n, np.uint8))) for n in (0, 192, 256, 576, 640)] == [256, 256, 256, 640, 640]
+    # texts that differ only in the 64 samples that no full frame covers
+    told = [media.describe("ab " * 170 + "  " + end) for end in ("a~" * 32, " " * 64)]
+    assert [t[1] for t in told] == [576, 576] and [t[6] for t in told] == [4, 4]
+    assert told[0][7:8] + tuple(told[0][9].tolist()) != told[1][7:8] + tuple(told[1][9].tolist())
+
+
+def test_every_peak_is_paired_with_peaks_of_later_frames():
+    t, f = np.array([0, 0, 0, 0, 1, 2]), np.array([3, 20, 40, 70, 5, 6])
+    times, codes = media.pair_peaks(t, f)
+    got = sorted(zip(times.tolist(), (codes >> 14).tolist(), ((codes >> 7) & 127).tolist(), (codes & 127).tolist(), strict=True))
+    assert got == sorted([(0, a, b, g) for a in (3, 20, 40, 70) for b, g in ((5, 1), (6, 2))] + [(1, 5, 6, 1)])
+    assert all(len(x) == 0 for x in media.pair_peaks(t[:0], f[:0]))
