@@ -56,3 +56,21 @@ def test_a_damaged_payload_is_noticed(spark, tmp_path):
 
 def test_empty(spark):
     assert warc.archive_pages(frame(spark, [])).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    rows = [("a b>\r\n", "u", "same"), ("b/é", "u", "same"), ("b/é", "u", "same"), ("c", "u", "own"), (None, "u", "same")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archive_pages(pages).collect()), key=str)
+    want = [("a b>\r\n", "response", None), ("b/é", "revisit", "a b>\r\n"), ("b/é", "revisit", "a b>\r\n"), ("c", "response", None), (None, "response", None)]
+    assert got == sorted(want, key=str)
+
+
+def test_every_payload_is_stored_once(spark, tmp_path):
+    """Many unique payloads, groups of copies, and repeated rows of one id."""
+    rows = [(k, "u", f"own {k}") for k in range(300)] + [(1000 + k, "u", f"group {k % 7}") for k in range(200)] + [(2000, "u", "twice")] * 2
+    path = f"file://{tmp_path}/c"
+    warc.write_archive(frame(spark, rows), path)
+    stored = [bytes(r["payload"]).decode() for r in warc.read_payloads(spark, path).collect()]
+    assert sorted(stored) == sorted({html for *_, html in rows})
+    assert warc.read_records(spark, path).count() == len(rows)
