@@ -102,6 +102,28 @@ def give_back() -> None:
 
 #: Rows that a Python worker takes up at a time; a batch of long texts is not unpacked as a whole.
 SLICE = 500
+#: Most rows and bytes that are sent to a Python worker at once.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small; a batch is held by the JVM and by the worker."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
+    spark.conf.set(size, str(ARROW_BYTES))
+
+
+def shrink_executors(spark: SparkSession) -> None:
+    """Ask the executors' JVMs to collect garbage and give back what they do not use, between two stages of a job.
+
+    A heap that one stage has filled is otherwise kept beside the Python workers of the next one.  Results
+    do not depend on it: an executor that no task reaches keeps its memory.
+    """
+    n = 2 * spark.sparkContext.defaultParallelism
+    gc_call = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
+    # the id keeps the call from being folded to a constant
+    spark.range(0, n, 1, n).where(gc_call.isNull() | (F.col("id") >= 0)).write.format("noop").mode("overwrite").save()
 
 #: From slices of the columns read to (for each row made, the place of the row it is made of; None: row by row), new columns.
 TextFunction = Callable[..., tuple[list[int] | None, list[list]]]
@@ -114,6 +136,7 @@ def map_texts(rows: DataFrame, make: Callable[[], TextFunction], added: str, kee
     ``make`` is called once for each partition.
     """
     keep = [c for c in rows.columns if c not in read] if keep is None else keep
+    bound_batches(rows.sparkSession)
     new = T.StructType.fromDDL(added)
     schema = T.StructType([rows.schema[c] for c in keep] + [f for f in new])
     types = [f.type for f in to_arrow_schema(new)]
