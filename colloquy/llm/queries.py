@@ -78,12 +78,25 @@ with recursive
         translate(regexp_extract(b, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
         || substr(b, length(regexp_extract(b, '(?s)^(.*?://[^/?#]*)', 1)) + 1) end as node
     from bare),
+  tags as (
+    select url, node, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) as t
+    from (select url, node, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) as tag from addressed) l
+    where regexp_matches(tag, '(?is)\brel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|''(?:[^'']*\s)?canonical(?:\s[^'']*)?''|canonical[\s/>])')
+    union all
+    select url, node, regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)
+    from (select url, node, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')) as tag from addressed) m),
+  targets as (
+    select node, trim(replace(t, '&amp;', '&')) as t, regexp_extract(url, '(?s)^(.*?:)//', 1) as scheme, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) as origin,
+      regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1) as folder
+    from tags),
+  resolved as (
+    select node, regexp_extract(case when contains(t, '://') then t when starts_with(t, '//') then scheme || t when starts_with(t, '/') then origin || t
+      when t <> '' then folder || case when ends_with(folder, '/') then '' else '/' end || t end, '(?s)^([^#]*)', 1) as b
+    from targets),
   edges as (
-    select node as u, regexp_extract(t, '(?s)^([^#]*)', 1) as v from (
-      select node, unnest([
-        regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-        regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) as t
-      from addressed) where t like '%://%'),
+    select node as u, translate(regexp_extract(b, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+        || substr(b, length(regexp_extract(b, '(?s)^(.*?://[^/?#]*)', 1)) + 1) as v
+    from resolved where contains(b, '://')),
   both_ways as (select u, v from edges union select v, u from edges),
   reach(node, other) as (
     select u, u from both_ways union select r.node, b.v from reach r join both_ways b on r.other = b.u),

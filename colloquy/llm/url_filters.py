@@ -1,7 +1,7 @@
 """URL filters with redirect equivalence.
 
-Pages are joined to their aliases by declared edges only: ``<link rel="canonical">``, a
-``<meta http-equiv="refresh">`` target, and rows of an optional redirect table.  Connected components
+Pages are joined to their aliases by declared edges only: every ``<link rel="canonical">`` and
+``<meta http-equiv="refresh">`` target of a page, in any case of letters, and rows of an optional redirect table.  Connected components
 over these edges form alias groups.  A page that a rule fits takes that rule's verdict.  A page that
 no rule fits is allowed if any member of its group is allowed by a rule, else blocked if any member
 is blocked, else allowed.
@@ -21,7 +21,10 @@ from colloquy.llm.components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-LINK_TAG = r"(?is)<link\b[^>]*?\brel\s*=\s*[\"']?canonical\b[^>]*>"
+MAY_DECLARE = r"(?i)canonical|http-equiv"
+LINK_TAG = r"(?is)<link\b[^>]*>"
+#: ``rel`` is a list of words, of which one is "canonical".
+IS_CANONICAL = r"(?is)\brel\s*=\s*(?:\"(?:[^\"]*\s)?canonical(?:\s[^\"]*)?\"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s/>])"
 META_TAG = r"(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
@@ -77,13 +80,13 @@ def _absolute(target: Column, url: Column) -> Column:
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """Edges (u, v) between addresses that pages, and rows (source, target) of ``redirects``, declare."""
     url, html = F.col("url"), F.col("html")
-    canonical = F.regexp_extract(F.regexp_extract(html, LINK_TAG, 0), HREF, 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, META_TAG, 0), REFRESH_URL, 1)
-    # a plain search spares the pages, nearly all, that hold neither tag
-    has = html.contains("canonical") | html.contains("CANONICAL") | html.contains("Canonical") | html.ilike("%http-equiv%")
+    links = F.filter(F.regexp_extract_all(html, F.lit(LINK_TAG), F.lit(0)), lambda tag: tag.rlike(IS_CANONICAL))
+    canonical = F.transform(links, lambda tag: F.regexp_extract(tag, HREF, 1))
+    refresh = F.transform(F.regexp_extract_all(html, F.lit(META_TAG), F.lit(0)), lambda tag: F.regexp_extract(tag, REFRESH_URL, 1))
     edges = (
-        pages.where(has)
-        .select(url, F.explode(F.array(canonical, refresh)).alias("to"))
+        # a plain search spares the pages, nearly all, that hold neither tag
+        pages.where(html.rlike(MAY_DECLARE))
+        .select(url, F.explode(F.concat(canonical, refresh)).alias("to"))
         .where("`to` <> ''")
         .select(address(url).alias("u"), address(_absolute(F.col("to"), url)).alias("v"))
     )

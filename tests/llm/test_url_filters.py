@@ -50,3 +50,32 @@ def test_redirect_table_and_hub(spark):
 
 def test_empty(spark):
     assert judged(spark, []) == {}
+
+
+def test_every_spelling_and_every_tag(spark):
+    to = "http://b.org/es/1"
+    pages = [f'<link rel="CaNonical" href="{to}">', f'<link href="{to}" rel="alternate canonical">', f"<LINK rel='canonical next' href='{to}'>", f"<link rel=canonical href={to}>",
+             f'<link rel="canonical" href="http://other.info/"><link rel="canonical" href="{to}">', f'<META HTTP-EQUIV="Refresh" content="1"><meta http-equiv=refresh content="0; URL={to}">',
+             f'<link rel="canonical-not" href="{to}">', f'<link rel="next" href="{to}">']
+    got = judged(spark, [(k, f"http://h{k}.info/", html) for k, html in enumerate(pages)])
+    assert [got[k]["verdict"] for k in range(8)] == ["block"] * 6 + ["allow"] * 2
+
+
+def test_agrees_with_sql(spark, tmp_path):
+    """The recursive SQL over declared edges of all kinds, repeated rows, very long urls and nulls."""
+    import duckdb
+
+    from colloquy.llm.queries import ORACLES
+
+    link = '<link rel="canonical" href="{}">'
+    rows = [(1, "http://a.info/x/y", link.format("../es")), (1, "http://a.info/x/y", link.format("../es")), (2, "HTTP://A.info/x/../es", link.format("//b.org/es/7#top")), (3, "http://c.info", link.format("es/1")),
+            (4, "http://c.info/es/1", link.format("/k?a=1&amp;b=2")), (5, "http://c.info/k?a=1&b=2", '<meta http-equiv="refresh" content="0;url=http://q.example.com/en/7">'), (6, "http://d.info/" + "z" * 30000, link.format("http://b.org/es/7")),
+            (7, None, link.format("http://b.org/es/7")), (8, "http://e.info/", None), (9, "no scheme", link.format("x")), (10, "http://b.org/es/7", ""), (11, "http://sub.b.org/es/", link.format("http://d.info/" + "z" * 30000))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    db = duckdb.connect()
+    db.register("pages", pages.toPandas())
+    want = db.sql(ORACLES["op2_url_filters"]).fetchall()
+    names = [c[0] for c in db.description] if db.description else ["page_id", "host", "path", "rule", "verdict", "component"]
+    got = uf.filter_urls(pages)
+    assert sorted(map(str, (tuple(r[c] for c in names) for r in got.collect()))) == sorted(map(str, want))
+    assert {r["page_id"]: r["verdict"] for r in got.collect()}[6] == "block"
