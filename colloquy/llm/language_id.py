@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.common import cut, drop, id_crc, map_texts
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Characters that Python's \w takes and that are neither letters nor decimal digits, such as ½ and ².
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: Letters only, as Java's \p{L}, with which words are counted.
+WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
 LONGEST = 5
 FOLDS, HELD_OUT = 5, 0
 ROWS_PER_LANG, MIN_WORD, MIN_GRAM = 3000, 3, 2
@@ -109,14 +112,15 @@ def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Model:
         return Model([], [], [])
     keep = F.create_map(*[F.lit(x) for k in langs for x in (k, int(min(1.0, rows_per_lang / sizes[k]) * SCALE))])
     sample = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(SCALE)) < keep[F.col("lang")])
-    # \p{L} leaves out the few letters-like numbers that Python's pattern also skips
     tokens = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w"))
     per_lang = [F.coalesce(F.sum(F.when(F.col("lang") == k, F.col("n"))), F.lit(0)).alias(f"c{i}") for i, k in enumerate(langs)]
     words = cut(tokens.groupBy("lang", "w").agg(F.count("*").alias("n")), "lang_words")
     padded = F.concat(F.lit("_"), F.col("w"), F.lit("_"))
-    each = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i, n=n: F.substring(padded, i, F.lit(n))) for n in range(2, LONGEST + 1)]))
-    # two-letter words are three or more padded letters: every sequence above has a first gram
-    gram_rows = words.where(F.length("w") >= LONGEST - 2).select("lang", "n", F.explode(F.array_union(each, F.split("w", ""))).alias("w"))
+    long_enough = lambda n: F.when(
+        F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substring(padded, i, F.lit(n)))
+    ).otherwise(F.array().cast("array<string>"))
+    each = F.flatten(F.array(*[long_enough(n) for n in range(2, LONGEST + 1)]))
+    gram_rows = words.select("lang", "n", F.explode(F.array_union(each, F.split("w", ""))).alias("w"))
 
     def collected(rows: DataFrame, least: int) -> list[tuple[str, list[int]]]:
         out = rows.where("w <> ''").groupBy("w").agg(F.sum("n").alias("n"), *per_lang).where(F.col("n") >= least)
