@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from colloquy.catalogue.common import ITEMS, REVIEWS, Register, items, reviewed, reviews
-from colloquy.operators import evaluation, review, rollups, rules, signals, tracker
+from colloquy.catalogue.texts import SPACES, WORDS
+from colloquy.operators import evaluation, grouped, review, rollups, rules, signals, tracker
 from colloquy.sources.tables import table
 
 query = Register()
@@ -216,21 +217,59 @@ def _candidates(spark, sf_dir):
     )
 
 
-@query()
+#: The candidates as SQL, with their words and their ranks.
+CANDIDATES = f"""
+cand as (select cast(conv_id as varchar) as source_id, cast(turn as varchar) as key, trim(regexp_replace(text, {SPACES})) as quote, {WORDS.format("text")} as words, role as owner,
+  case when turn % 4 = 0 then 0.5 else (turn % 4) / 4.0 end as confidence, cast(turn * 100 as integer) as s, cast(turn * 100 + 150 as integer) as e from conversations)
+"""
+
+
+@query(f"""with recursive {CANDIDATES},
+ranked as (select *, cast(row_number() over (partition by source_id order by confidence desc, s, key) as integer) as r from cand),
+pairs as (select a.source_id, b.r, a.r as t, a.quote = b.quote as same, greatest(least(a.e, b.e) - greatest(a.s, b.s), 0) / 150.0 as overlap, a.owner = b.owner as owned,
+  case when least(len(a.words), len(b.words)) < 2 then 0.0 else len(list_intersect(a.words, b.words)) / least(len(a.words), len(b.words)) end as likeness
+  from ranked a join ranked b on a.source_id = b.source_id and a.r < b.r),
+told as (select source_id, r, t, case when likeness >= 0.4 and same then 'identical_quote' when likeness >= 0.4 and overlap >= 0.5 then 'overlapping_span' when likeness >= 0.7 and owned then 'same_owner' end as reason from pairs),
+earlier as (select source_id, r, list(t order by t) as ts, list(reason order by t) as reasons from told where reason is not null group by source_id, r),
+nodes as (select ranked.source_id, ranked.r, key, coalesce(ts, []) as ts, coalesce(reasons, []) as reasons from ranked left join earlier using (source_id, r)),
+walk(source_id, r, acc, reason) as (
+  select source_id, 1, [1], cast(null as varchar) from nodes where r = 1
+  union all
+  select n.source_id, n.r, list_append(w.acc, coalesce(list_filter(n.ts, lambda t: w.acc[t] = t)[1], n.r)),
+    n.reasons[list_position(n.ts, list_filter(n.ts, lambda t: w.acc[t] = t)[1])]
+  from walk w join nodes n on n.source_id = w.source_id and n.r = w.r + 1)
+select n.source_id, 'action' as extraction_type, n.key, o.key as survivor_key, w.reason
+from walk w join nodes n using (source_id, r) join nodes o on o.source_id = w.source_id and o.r = w.acc[w.r]""")
 def greedy_dedup(spark, sf_dir):
-    from colloquy.operators.grouped import greedy_dedup as dedup
-
-    return dedup(_candidates(spark, sf_dir))
-
-
-@query()
+    return grouped.greedy_dedup(_candidates(spark, sf_dir))
+
+
+@query(f"""with recursive {CANDIDATES},
+g as (select source_id, key, quote, words, cast(row_number() over (partition by source_id order by s, key) as integer) as r from cand where owner = 'user'),
+e as (select source_id, key, quote, words, cast(row_number() over (partition by source_id order by s, key) as integer) as r from cand where owner <> 'user'),
+met as (select g.source_id, g.r, e.r as er, g.quote <> '' and e.quote <> '' and (contains(lower(g.quote), lower(e.quote)) or contains(lower(e.quote), lower(g.quote))) as quoted,
+  case when least(len(g.words), len(e.words)) < 2 then 0.0 else len(list_intersect(g.words, e.words)) / least(len(g.words), len(e.words)) end >= 0.5 as alike
+  from g join e using (source_id)),
+items as (select g.source_id, g.r, coalesce(list(er order by er) filter (quoted), []) as first_choice, coalesce(list(er order by er) filter (quoted or alike), []) as second_choice
+  from g left join met using (source_id, r) group by g.source_id, g.r),
+steps as (select source_id, 1 as pass_no, r, first_choice as offers, r as k from items
+  union all select source_id, 2, r, second_choice, r + (select max(r) from g x where x.source_id = items.source_id) from items),
+walk(source_id, k, gs, es, ps) as (
+  select distinct source_id, 0, cast([] as integer[]), cast([] as integer[]), cast([] as integer[]) from g
+  union all
+  select w.source_id, s.k,
+    case when c.e is null then gs else list_append(gs, s.r) end, case when c.e is null then es else list_append(es, c.e) end, case when c.e is null then ps else list_append(ps, s.pass_no) end
+  from walk w join steps s on s.source_id = w.source_id and s.k = w.k + 1,
+    lateral (select case when list_contains(w.gs, s.r) then null else list_filter(s.offers, lambda x: not list_contains(w.es, x))[1] end as e) c),
+ended as (select source_id, unnest(gs) as gr, unnest(es) as er, unnest(ps) as pass_no from (select *, row_number() over (partition by source_id order by k desc) as n from walk) where n = 1)
+select g.source_id as group_id, g.key as golden_id, e.key as extraction_id, pass_no from g left join ended on ended.source_id = g.source_id and gr = g.r left join e on e.source_id = g.source_id and e.r = er
+union all
+select source_id, null, key, null from e where not exists (select 1 from ended where ended.source_id = e.source_id and er = e.r)""")
 def greedy_pairing(spark, sf_dir):
-    from colloquy.operators.grouped import greedy_pairs
-
     c = _candidates(spark, sf_dir).withColumn("position", F.col("char_start"))
     golden = c.where("owner = 'user'").select(F.col("source_id").alias("group_id"), F.col("key").alias("golden_id"), "position", "quote", "task")
     told = c.where("owner <> 'user'").select(F.col("source_id").alias("group_id"), F.col("key").alias("extraction_id"), "position", "quote", "task")
-    return greedy_pairs(golden, told)
+    return grouped.greedy_pairs(golden, told)
 
 
 QUERIES, ORACLES = query.queries, query.oracles

@@ -8,6 +8,7 @@ from colloquy.catalogue.common import SEG, Register
 from colloquy.functions import dates, vectors
 from colloquy.functions import text as tx
 from colloquy.operators import segments
+from colloquy.operators.grouped import chunk_segments
 from colloquy.sources.tables import segments as read_segments
 from colloquy.sources.tables import table
 
@@ -194,10 +195,22 @@ def hashing_embedder(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", vectors.hashing_embedder("text").alias("embedding"))
 
 
-@query()
+@query(f"""with recursive {SEG},
+lines as (select cast(source_id as varchar) as source_id, segment_index, char_start, char_start + length(text) as char_end, '[--:--:--] ' || coalesce(speaker, 'UNSPECIFIED') || ': ' || text as line from seg),
+costs as (select *, greatest(1, length(line) // 4) as cost from lines),
+sums as (select *, sum(cost) over (partition by source_id order by segment_index) as upto from costs),
+src as (select source_id, list(segment_index order by segment_index) as idx, list(char_start order by segment_index) as s, list(char_end order by segment_index) as e,
+  list(line order by segment_index) as lines, list_prepend(0, list(upto order by segment_index)) as pre from sums group by source_id),
+walk(source_id, k, a, b, carried) as (
+  select source_id, 0, 0, greatest(1, len(list_filter(pre, lambda p: p <= 1200)) - 1), 0 from src
+  union all
+  select source_id, k + 1, nx, greatest(nx + 1, len(list_filter(pre, lambda p: p <= pre[nx + 1] + 1200)) - 1), b - nx
+  from (select w.source_id, k, a, b, pre, greatest(a + 1, len(list_filter(pre, lambda p: p < pre[b + 1] - 200))) as nx from walk w join src using (source_id) where b < len(idx)))
+select source_id, source_id || '::chunk' || lpad(cast(k as varchar), 3, '0') as chunk_id, k as chunk_index, count(*) over (partition by source_id) as total,
+  idx[a + 1] as first_segment_index, idx[b] as last_segment_index, b - a as n_segments, carried as n_overlap, cast(null as varchar) as start_ts, cast(null as varchar) as end_ts,
+  s[a + 1] as char_start, e[b] as char_end, array_to_string(lines[a + 1:b], chr(10)) as text, greatest(1, length(array_to_string(lines[a + 1:b], chr(10))) // 4) as estimated_tokens
+from walk join src using (source_id)""")
 def chunk_windows(spark, sf_dir):
-    from colloquy.operators.grouped import chunk_segments
-
     rows = read_segments(spark, sf_dir).select(F.col("source_id").cast("string").alias("source_id"), F.col("segment_index").cast("int").alias("segment_index"), F.lit(None).cast("string").alias("start_ts"), "speaker", "text", "char_start", "char_end")
     return chunk_segments(rows)
 

@@ -34,6 +34,7 @@ NOT_A_NAME = [
     "present", "question", "questions", "recap", "reminder", "risk", "risks",
     "status", "summary", "todo", "topic", "update", "updates", "warning",
 ]
+# The shape of a name in a label, and its greatest length.
 NAME_SHAPED = r"^[A-Z][\w.'’-]*(?:\s+[A-Z][\w.'’-]*){1,3}$"
 MAX_LABEL = 48
 
@@ -52,6 +53,11 @@ def normalise_text(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, SPACE, " "))
 
 
+def strip(x: Column) -> Column:
+    """No white space at the ends."""
+    return F.regexp_replace(x, rf"^{SPACE}|{SPACE}$", "")
+
+
 def content_words(x: Column) -> Column:
     """Distinct words longer than two letters that are no stopwords."""
     words = F.regexp_extract_all(F.lower(x), F.lit("([a-z0-9]+)"), F.lit(1))
@@ -114,7 +120,7 @@ def split_speaker(line: Column, lookup: Column | None = None) -> Column:
     ``lookup``: map of canonical names to known participants.
     """
     parts = F.struct(
-        F.trim(line).alias("whole"), F.trim(F.substring_index(line, ":", 1)).alias("label"), F.trim(F.substring(line, F.instr(line, ":") + 1, F.length(line))).alias("rest"), line.contains(":").alias("colon")
+        strip(line).alias("whole"), strip(F.substring_index(line, ":", 1)).alias("label"), strip(F.substring(line, F.instr(line, ":") + 1, F.length(line))).alias("rest"), line.contains(":").alias("colon")
     )
     pair = lambda s, t: F.struct(s.alias("speaker"), t.alias("text"))
 

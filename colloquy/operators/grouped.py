@@ -1,44 +1,42 @@
-"""Order-dependent operators, each a grouped map: chunk windows, greedy dedup, greedy pairing."""
+"""Order-dependent operators: chunk windows, greedy dedup, greedy pairing.
 
-from __future__ import annotations
+Windows are walked along jump tables made of prefix sums.  The two greedy operators first make a table of
+candidate pairs by joins within a group, and then fold each group's candidates, in order, into their result.
+"""
 
-import re
+from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
 
+# Budgets in tokens and thresholds of likeness.
 CHUNK_BUDGET, CHUNK_OVERLAP = 1200, 200
 SPAN_THRESHOLD, TASK_THRESHOLD, ELSEWHERE_THRESHOLD, PAIR_THRESHOLD = 0.5, 0.4, 0.7, 0.5
-NOWHERE = 10**9
+NO_CONFIDENCE = 0.5
 
 
 # --- chunk windows -----------------------------------------------------------------------------
 
 
 def windows(costs: list[int], budget: int = CHUNK_BUDGET, overlap: int = CHUNK_OVERLAP) -> list[tuple[int, int, int]]:
-    """(start, end, carried) of each chunk over segments of these costs.
+    """(start, end, carried) of each chunk over segments of these costs, which are positive.
 
-    A chunk takes segments while they fit, the first one in any case.  The next chunk starts with as many
-    of the last segments as fit in the overlap, but always later than the chunk before.
+    A chunk is the longest stretch within the budget, or a single segment.  The next one reaches back over
+    the longest stretch within the overlap, but always begins later than the one before.
     """
-    out, start, carried = [], 0, 0
-    while start < len(costs):
-        end, used = start + 1, costs[start]
-        while end < len(costs) and used + costs[end] <= budget:
-            used += costs[end]
-            end += 1
-        out.append((start, end, carried))
-        if end == len(costs):
-            break
-        again, spent = end, 0
-        while again > start + 1 and spent + costs[again - 1] <= overlap:
-            again -= 1
-            spent += costs[again]
-        start, carried = again, end - again
-    return out
+    n = len(costs)
+    total = np.concatenate([[0], np.cumsum(costs, dtype=np.int64)])
+    reach = np.maximum(np.searchsorted(total, total[:n] + budget, side="right") - 1, np.arange(1, n + 1))
+    back = np.searchsorted(total, total - overlap, side="left")
+    starts, ends = [0] * bool(n), reach[:1].tolist()
+    while ends and ends[-1] < n:
+        starts.append(max(starts[-1] + 1, int(back[ends[-1]])))
+        ends.append(int(reach[starts[-1]]))
+    return [(a, b, before - a) for a, b, before in zip(starts, ends, [0, *ends], strict=False)]
 
 
 CHUNK = (
@@ -53,20 +51,17 @@ def chunk_segments(segments: DataFrame, budget: int = CHUNK_BUDGET, overlap: int
     rows = segments.select("source_id", "segment_index", "start_ts", "char_start", "char_end", line.alias("line")).withColumn("cost", tx.estimate_tokens(F.col("line")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("segment_index")
-        found = windows(pdf["cost"].tolist(), budget, overlap)
-        out = []
-        for k, (a, b, carried) in enumerate(found):
-            part = pdf.iloc[a:b]
-            body = "\n".join(part["line"])
-            first, last = part.iloc[0], part.iloc[-1]
-            out.append(
-                (
-                    first["source_id"], f"{first['source_id']}::chunk{k:03d}", k, len(found), first["segment_index"], last["segment_index"], b - a, carried,
-                    first["start_ts"], last["start_ts"], first["char_start"], last["char_end"], body, max(1, len(body) // 4),
-                )
-            )
-        return pd.DataFrame(out, columns=[c.split()[0] for c in CHUNK.split(", ")])
+        pdf = pdf.sort_values("segment_index", ignore_index=True)
+        found = np.array(windows(pdf["cost"].tolist(), budget, overlap))
+        first, last = pdf.iloc[found[:, 0]].reset_index(drop=True), pdf.iloc[found[:, 1] - 1].reset_index(drop=True)
+        lines, k = pdf["line"].tolist(), np.arange(len(found))
+        out = pd.DataFrame({"source_id": first["source_id"], "chunk_index": k, "total": len(found), "n_segments": found[:, 1] - found[:, 0], "n_overlap": found[:, 2]})
+        out["chunk_id"] = [f"{s}::chunk{i:03d}" for s, i in zip(out["source_id"], k, strict=True)]
+        for name, side, column in (("first_segment_index", first, "segment_index"), ("last_segment_index", last, "segment_index"), ("start_ts", first, "start_ts"), ("end_ts", last, "start_ts"), ("char_start", first, "char_start"), ("char_end", last, "char_end")):
+            out[name] = side[column]
+        out["text"] = ["\n".join(lines[a:b]) for a, b, _ in found]
+        out["estimated_tokens"] = (out["text"].str.len() // 4).clip(lower=1)
+        return out[[c.split()[0] for c in CHUNK.split(", ")]]
 
     return rows.groupBy("source_id").applyInPandas(run, CHUNK)
 
@@ -74,118 +69,95 @@ def chunk_segments(segments: DataFrame, budget: int = CHUNK_BUDGET, overlap: int
 # --- greedy dedup ------------------------------------------------------------------------------
 
 
-def _normal(x: str | None) -> str:
-    return " ".join((x or "").split())
-
-
-_STOP = frozenset(tx.TASK_STOPWORDS)
-
-
-def _content(x: str | None) -> frozenset[str]:
-    return frozenset(w for w in re.findall("[a-z0-9]+", (x or "").lower()) if len(w) > 2 and w not in _STOP)
-
-
-def _contained(a: frozenset, b: frozenset) -> float:
-    return len(a & b) / min(len(a), len(b)) if min(len(a), len(b)) > 1 else 0.0
-
-
-def _overlap(a: dict, b: dict) -> float:
-    if a["span"] is None or b["span"] is None:
-        return 0.0
-    (s1, e1), (s2, e2) = a["span"], b["span"]
-    shorter = min(e1 - s1, e2 - s2)
-    return max(0, min(e1, e2) - max(s1, s2)) / shorter if shorter > 0 else 0.0
-
-
-def duplicate_reason(a: dict, b: dict, owner_rule: bool = True) -> str | None:
-    """Why two candidates are one, or None.  Relation is not transitive."""
-    similar = _contained(a["words"], b["words"])
-    same = a["quote"] == b["quote"]
-    if similar >= TASK_THRESHOLD and (same or _overlap(a, b) >= SPAN_THRESHOLD):
-        return "identical_quote" if same else "overlapping_span"
-    named = owner_rule and a["owner"] == b["owner"] and a["owner"] != tx.UNSPECIFIED and a["owner"].strip()
-    return "same_owner" if named and similar >= ELSEWHERE_THRESHOLD else None
-
-
-DEDUP = "source_id string, extraction_type string, key string, survivor_key string, reason string"
+def duplicate_reason(similar: Column, owner_rule: bool = True) -> Column:
+    """Why candidates ``a_`` and ``b_`` that share this much of their words are one, or null.  The relation is not transitive."""
+    same = F.col("a_quote") == F.col("b_quote")
+    near = tx.span_overlap(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")) >= SPAN_THRESHOLD
+    reason = F.when((similar >= TASK_THRESHOLD) & same, "identical_quote").when((similar >= TASK_THRESHOLD) & near, "overlapping_span")
+    named = (F.col("a_owner") == F.col("b_owner")) & (F.col("a_owner") != tx.UNSPECIFIED) & (tx.normalise_text(F.col("a_owner")) != "")
+    return reason.when(named & (similar >= ELSEWHERE_THRESHOLD), "same_owner") if owner_rule else reason
 
 
 def greedy_dedup(candidates: DataFrame, owner_rule: bool = True) -> DataFrame:
     """For each candidate (source_id, extraction_type, key, quote, task, owner, confidence, char_start, char_end) the
-    survivor that it is, or that absorbs it.
+    survivor that it is, or that absorbs it, as source_id, extraction_type, key, survivor_key, reason.
 
-    Candidates go by confidence (missing or zero: 0.5), place and key; each is compared with the survivors
-    so far in that order, and the first duplicate takes it.
+    Candidates go by confidence (missing or zero: 0.5), place and key.  One that is a duplicate of an earlier
+    survivor belongs to the first such; all others survive.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for r in pdf.itertuples(index=False):
-            span = None if pd.isna(r.char_start) or pd.isna(r.char_end) else (int(r.char_start), int(r.char_end))
-            confidence = r.confidence if r.confidence and not pd.isna(r.confidence) else 0.5
-            rows.append({"key": r.key, "quote": _normal(r.quote), "words": _content(r.task), "owner": r.owner or "", "span": span, "order": (-confidence, span[0] if span else NOWHERE, r.key)})
-        survivors, out = [], []
-        for row in sorted(rows, key=lambda x: x["order"]):
-            for s in survivors:
-                if reason := duplicate_reason(s, row, owner_rule):
-                    out.append((row["key"], s["key"], reason))
-                    break
-            else:
-                survivors.append(row)
-                out.append((row["key"], row["key"], None))
-        first = pdf.iloc[0]
-        return pd.DataFrame([(first["source_id"], first["extraction_type"], *x) for x in out], columns=["source_id", "extraction_type", "key", "survivor_key", "reason"])
-
-    return candidates.groupBy("source_id", "extraction_type").applyInPandas(run, DEDUP)
+    group = ["source_id", "extraction_type"]
+    placed = F.col("char_start").isNotNull() & F.col("char_end").isNotNull()
+    certain = F.when(F.isnan("confidence") | (F.col("confidence") == 0), None).otherwise(F.col("confidence"))
+    order = Window.partitionBy(*group).orderBy(F.coalesce(certain, F.lit(NO_CONFIDENCE)).desc(), F.when(placed, F.col("char_start")).asc_nulls_last(), "key")
+    empty = F.lit("")
+    rows = candidates.select(
+        *group, "key", F.row_number().over(order).alias("rank"), tx.normalise_text(F.coalesce("quote", empty)).alias("quote"), F.coalesce("owner", empty).alias("owner"),
+        F.when(placed, F.col("char_start")).alias("start"), F.when(placed, F.col("char_end")).alias("end"), tx.content_words(F.coalesce("task", empty)).alias("words"),
+    )
+    # duplicates share words: pairs meet by a word, and the words that they share are counted
+    words = rows.select(*group, "rank", F.size("words").alias("n"), F.explode("words").alias("word"))
+    side = lambda mark: words.select(*group, "word", F.col("rank").alias(f"{mark}_rank"), F.col("n").alias(f"{mark}_n"))
+    met = side("a").join(side("b"), [*group, "word"]).where("a_rank < b_rank").groupBy(*group, "a_rank", "b_rank", "a_n", "b_n").agg(F.count("*").alias("shared"))
+    smaller = F.least("a_n", "b_n")
+    met = met.where(smaller > 1).withColumn("similar", F.col("shared") / smaller).where(F.col("similar") >= min(TASK_THRESHOLD, ELSEWHERE_THRESHOLD))
+    for mark in ("a", "b"):
+        met = met.join(rows.select(*group, *[F.col(c).alias(f"{mark}_{c}") for c in ("rank", "quote", "owner", "start", "end")]), [*group, f"{mark}_rank"])
+    pairs = met.select(*group, F.col("b_rank").alias("rank"), F.struct(F.col("a_rank").alias("to"), duplicate_reason(F.col("similar"), owner_rule).alias("reason")).alias("earlier"))
+    earlier = pairs.where("earlier.reason is not null").groupBy(*group, "rank").agg(F.array_sort(F.collect_list("earlier")).alias("earlier"))
+    folded = rows.select(*group, "rank", "key").join(earlier, [*group, "rank"], "left").groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("rank", "key", "earlier"))).alias("nodes"))
+
+    def settle(told: Column, node: Column) -> Column:
+        # an earlier node is a survivor if it belongs to itself
+        surviving = F.filter(node["earlier"], lambda x: F.get(told, x["to"] - 1)["to"] == x["to"])
+        own = F.struct(node["rank"].alias("to"), F.lit(None).cast("string").alias("reason"))
+        return F.concat(told, F.array(F.coalesce(F.get(surviving, F.lit(0)), own)))
+
+    told = folded.withColumn("told", F.aggregate("nodes", F.array().cast("array<struct<to:int,reason:string>>"), settle))
+    each = told.select(*group, "nodes", F.explode(F.arrays_zip(F.col("nodes.key").alias("key"), F.col("told").alias("told"))).alias("x"))
+    return each.select(*group, "x.key", F.get("nodes", F.col("x.told.to") - 1)["key"].alias("survivor_key"), F.col("x.told.reason").alias("reason"))
 
 
 # --- greedy pairing ----------------------------------------------------------------------------
 
 
-def quotes_overlap(a: str, b: str) -> bool:
-    a, b = _normal(a).lower(), _normal(b).lower()
-    return bool(a and b) and (a in b or b in a)
-
-
-PAIRS = "group_id string, golden_id string, extraction_id string, pass_no int"
+def quotes_overlap(a: Column, b: Column) -> Column:
+    """Whether one of two quotes that are not blank holds the other, in any case of letters."""
+    a, b = (F.lower(tx.normalise_text(F.coalesce(x, F.lit("")))) for x in (a, b))
+    return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
 
 def greedy_pairs(golden: DataFrame, extractions: DataFrame) -> DataFrame:
     """One-to-one pairs of golden items (group_id, golden_id, position, quote, task) and extractions (group_id,
-    extraction_id, position, quote, task).
+    extraction_id, position, quote, task), as group_id, golden_id, extraction_id, pass_no.
 
     First all golden items, in order, take the first free extraction with an overlapping quote; then those
     left may also match by task.  Unpaired ones of either side come with a null partner.
     """
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = (side.rename(columns=lambda c: c[2:]) for side in (left, right))
-        group = (left if len(left) else right).iloc[0]["group_id"]
-        # a side without rows may come without columns
-        wanted = list(left.sort_values(["position", "golden_id"]).itertuples(index=False)) if len(left) else []
-        offered = list(right.sort_values(["position", "extraction_id"]).itertuples(index=False)) if len(right) else []
-        words = {e.extraction_id: _content(e.task) for e in offered}
-        used, out = set(), []
-        for pass_no in (1, 2):
-            rest = []
-            for g in wanted:
-                own = _content(g.task)
-                for e in offered:
-                    if e.extraction_id in used:
-                        continue
-                    if quotes_overlap(g.quote, e.quote) or (pass_no == 2 and _contained(own, words[e.extraction_id]) >= PAIR_THRESHOLD):
-                        used.add(e.extraction_id)
-                        out.append((group, g.golden_id, e.extraction_id, pass_no))
-                        break
-                else:
-                    rest.append(g)
-            wanted = rest
-        out += [(group, g.golden_id, None, None) for g in wanted]
-        out += [(group, None, e.extraction_id, None) for e in offered if e.extraction_id not in used]
-        done = pd.DataFrame(out, columns=["group_id", "golden_id", "extraction_id", "pass_no"])
-        done["pass_no"] = done["pass_no"].astype("Int32")
-        return done
-
-    # the sides may be made of one table; columns that they share would be taken for the same
-    own = lambda df, mark, key: df.select(*[F.col(c).alias(f"{mark}_{c}") for c in ("group_id", key, "position", "quote", "task")]).groupBy(f"{mark}_group_id")
-    return own(golden, "g", "golden_id").cogroup(own(extractions, "e", "extraction_id")).applyInPandas(run, PAIRS)
+    def side(df: DataFrame, key: str, mark: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("group_id").orderBy("position", key))
+        return df.select("group_id", F.col(key).alias(f"{mark}_id"), rank.alias(mark), F.col("quote").alias(f"{mark}_quote"), tx.content_words(F.coalesce("task", F.lit(""))).alias(f"{mark}_words"))
+
+    wanted, offered = side(golden, "golden_id", "g"), side(extractions, "extraction_id", "e")
+    quoted, likeness = quotes_overlap(F.col("g_quote"), F.col("e_quote")), tx.containment(F.col("g_words"), F.col("e_words"))
+    offers = wanted.join(offered, "group_id").select("group_id", "g", "e", quoted.alias("quoted"), (likeness >= PAIR_THRESHOLD).alias("alike")).where("quoted or alike")
+    offers = offers.groupBy("group_id", "g").agg(F.array_sort(F.collect_list(F.struct("e", "quoted"))).alias("offers"))
+    folded = wanted.select("group_id", "g", "g_id").join(offers, ["group_id", "g"], "left").groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("g", "offers"))).alias("items"))
+    kind = "array<struct<g:int,e:int,pass_no:int>>"
+
+    def take(pass_no: int):
+        def step(taken: Column, item: Column) -> Column:
+            free = F.filter(item["offers"], lambda o: (o["quoted"] if pass_no == 1 else F.lit(True)) & ~F.exists(taken, lambda t: (t["e"] == o["e"]) | (t["g"] == item["g"])))
+            pair = lambda e: F.struct(item["g"].alias("g"), e.alias("e"), F.lit(pass_no).alias("pass_no"))
+            return F.concat(taken, F.coalesce(F.transform(F.slice(free, 1, 1), lambda o: pair(o["e"])), F.array().cast(kind)))
+
+        return step
+
+    taken = folded.withColumn("taken", F.aggregate("items", F.array().cast(kind), take(1)))
+    pairs = taken.select("group_id", F.explode(F.aggregate("items", F.col("taken"), take(2))).alias("p")).select("group_id", "p.*")
+    left = wanted.select("group_id", "g", "g_id").join(pairs, ["group_id", "g"], "left").join(offered.select("group_id", "e", "e_id"), ["group_id", "e"], "left")
+    alone = offered.select("group_id", "e", "e_id").join(pairs, ["group_id", "e"], "left_anti")
+    none = F.lit(None)
+    return left.select("group_id", F.col("g_id").alias("golden_id"), F.col("e_id").alias("extraction_id"), "pass_no").unionByName(
+        alone.select("group_id", none.cast(golden.schema["golden_id"].dataType).alias("golden_id"), F.col("e_id").alias("extraction_id"), none.cast("int").alias("pass_no"))
+    )
