@@ -1,10 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Four transducers read a clause word by word.  The lexical one maps words to classes (insult, threat,
-target, negation, report); the scope ones follow how far a negation reaches, whether speech is
-reported and whether a target is near.  Their composition tells every insult or threat as a pattern,
-such as ``insult``, ``insult+target`` or ``insult+not+report``, and the weights of a clause's patterns
-make its score.  A document's score is a logistic function of its worst clauses.
+A clause is a string of word classes (insult, threat, target, negation, report).  Three transducers with
+weighted arcs rewrite it: the target transducer marks an insult or threat near a target, the negation
+transducer one that a negation reaches, the report transducer one inside reported speech; each arc that
+marks multiplies the weight.  Targets also count when they follow, which no machine that reads from the
+left can tell: the target transducer first reads the clause from its end.  The three are composed to one
+machine that reads each clause once more, and what it writes are patterns, such as ``insult``,
+``insult+target`` or ``insult+not+report``.  Labelled rows replace the arcs' weights of a pattern by what they
+show.  A document's score is a logistic function of the weights of its clauses, the worst first, each
+counting half as much as the one before.
 
 Insults are a seed list and what labelled rows teach: words, and beginnings of words for languages
 that attach endings, that stand in many different contexts of toxic documents and hardly elsewhere.
@@ -88,32 +92,84 @@ class Grammar:
 
 
 def prior_weight(pattern: str) -> float:
+    """The product of the weights on the arcs that write this pattern."""
     kind, *scopes = pattern.split("+")
     return PRIOR[kind] * math.prod(FACTORS[s] for s in scopes)
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """A sequential transducer: from state and symbol to the next state, the symbol written and a weight."""
+
+    starts: tuple
+    arcs: dict[tuple, tuple]
+
+    def run(self, symbols: list[str], start: int = 0) -> tuple[list[str], list[float]]:
+        """What is written for ``symbols`` from one of the start states, and the weights of the arcs."""
+        state, out, weights = self.starts[start], [], []
+        for symbol in symbols:
+            state, written, weight = self.arcs[state, symbol]
+            out.append(written)
+            weights.append(weight)
+        return out, weights
+
+
+def is_event(symbol: str) -> bool:
+    return symbol.partition("+")[0] in PRIOR
+
+
+def scope(trigger: str, mark: str, reach: int | None, symbols: list[str]) -> Transducer:
+    """Marks events within ``reach`` words behind a trigger; without reach, all that follow it."""
+    arcs = {}
+    for left in range((reach or 1) + 1):
+        for symbol in symbols:
+            marks = left > 0 and is_event(symbol) and mark not in symbol.split("+")
+            after = (reach or 1) if symbol == trigger else max(left - 1, 0) if reach else left
+            arcs[left, symbol] = after, f"{symbol}+{mark}" if marks else symbol, FACTORS[mark] if marks else 1.0
+    return Transducer((0, reach or 1), arcs)
+
+
+def compose(first: Transducer, second: Transducer, symbols: list[str]) -> Transducer:
+    """The machine that writes what ``second`` writes for the output of ``first``; it starts with the second's starts."""
+    starts = tuple((first.starts[0], q) for q in second.starts)
+    arcs, todo = {}, list(starts)
+    while todo:
+        p, q = state = todo.pop()
+        if (state, symbols[0]) in arcs:
+            continue
+        for symbol in symbols:
+            p2, between, w1 = first.arcs[p, symbol]
+            q2, written, w2 = second.arcs[q, between]
+            arcs[state, symbol] = (p2, q2), written, w1 * w2
+            todo.append((p2, q2))
+    return Transducer(starts, arcs)
+
+
+def _marked(symbols: list[str], *marks: str) -> list[str]:
+    for mark in marks:
+        symbols = symbols + [f"{s}+{mark}" for s in symbols if is_event(s) and mark not in s.split("+")]
+    return symbols
+
+
+CLASSES = {"": "", "i": "insult", "h": "threat", "t": "t", "n": "n", "r": "r"}
+_PLAIN = list(CLASSES.values())
+_TARGET_BEHIND = scope("t", "target", TARGET_REACH, _PLAIN)
+_TARGETED = _marked(_PLAIN, "target")
+#: The target, negation and report transducers as one; its second start is inside a quotation.
+MACHINE = compose(
+    compose(scope("t", "target", TARGET_REACH, _TARGETED), scope("n", "not", NEGATION_REACH, _TARGETED), _TARGETED),
+    scope("r", "report", None, _marked(_TARGETED, "not")), _TARGETED,
+)
+
+
 def clause_patterns(classes: list[str], reported: bool) -> list[str]:
-    """The composed transducers over the word classes of one clause."""
-    patterns = []
-    since_negation = since_target = 1 << 30
-    targets = [k for k, c in enumerate(classes) if c == "t"]
-    ahead = 0
-    for k, c in enumerate(classes):
-        since_negation, since_target = since_negation + 1, since_target + 1
-        if c == "n":
-            since_negation = 0
-        elif c == "t":
-            since_target = 0
-        elif c == "r":
-            reported = True
-        elif c:
-            while ahead < len(targets) and targets[ahead] < k:
-                ahead += 1
-            near = since_target <= TARGET_REACH or (ahead < len(targets) and targets[ahead] - k <= TARGET_REACH)
-            pattern = "insult" if c == "i" else "threat"
-            pattern += "+target" * near + "+not" * (since_negation <= NEGATION_REACH) + "+report" * reported
-            patterns.append(pattern)
-    return patterns
+    """The patterns that the machines write for the word classes of one clause."""
+    symbols = [CLASSES[c] for c in classes]
+    if not ("insult" in symbols or "threat" in symbols):
+        return []
+    backwards, _ = _TARGET_BEHIND.run(symbols[::-1])
+    written, _ = MACHINE.run(backwards[::-1], int(reported))
+    return [p for p in written if is_event(p)]
 
 
 class Scorer:
@@ -154,7 +210,7 @@ class Scorer:
             z = self.grammar.without
         else:
             scores = sorted((max(map(self.grammar.weight, c)) for c in found), reverse=True)
-            z = sum(s / (1 << k) for k, s in enumerate(scores[:8]))
+            z = sum(math.ldexp(s, -k) for k, s in enumerate(scores))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z + self.grammar.bias))))
 
 

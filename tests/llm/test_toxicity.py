@@ -82,3 +82,61 @@ def test_accuracy(spark):
     got = tox.score_toxicity(docs, labels).join(labels, "doc_id").where("held_out")
     n, right = got.count(), got.where("predicted = toxic").count()
     assert right / n >= 0.95
+
+
+def brute_patterns(classes, reported):
+    """Scopes looked up for each event by itself."""
+    out = []
+    for k, c in enumerate(classes):
+        if c in ("i", "h"):
+            near = any(x == "t" for x in classes[max(0, k - tox.TARGET_REACH) : k + tox.TARGET_REACH + 1])
+            negated = "n" in classes[max(0, k - tox.NEGATION_REACH) : k]
+            told = reported or "r" in classes[:k]
+            out.append({"i": "insult", "h": "threat"}[c] + "+target" * near + "+not" * negated + "+report" * told)
+    return out
+
+
+def test_composed_machines_agree_with_brute_force():
+    rng = random.Random(8)
+    for _ in range(3000):
+        classes = [rng.choice(["", "", "", "i", "h", "t", "n", "r"]) for _ in range(rng.randint(0, 14))]
+        reported = rng.random() < 0.3
+        assert tox.clause_patterns(classes, reported) == brute_patterns(classes, reported)
+
+
+def test_weights_are_those_of_the_arcs():
+    symbols = ["n", "insult+target"]
+    written, weights = tox.MACHINE.run(symbols, 1)
+    assert written == ["n", "insult+target+not+report"]
+    assert tox.PRIOR["insult"] * tox.FACTORS["target"] * weights[1] == tox.prior_weight(written[1])
+
+
+def test_scores_agree_with_brute_force(make, spark):
+    """Every text is scored again from its grammar, clause by clause."""
+    import math
+    import re
+
+    rows, labels = corpus(200)
+    extra = ['She said "you idiot". Not stupid! You are no moron', "kill " * 40 + ". " + "idiot. " * 30, None, "", "no; never; you", "zorgix\n\"smarf\n you smarf"]
+    rows += [(5000 + k, t) for k, t in enumerate(extra)]
+    grammar = tox.fit(make(rows), frame(spark, labels))
+
+    def score(text):
+        found, quoted = [], False
+        for line in re.split("(\n)", (text or "").lower()):
+            if line == "\n":
+                quoted = False
+            for clause in re.split("[.!?;:\n]", line):
+                at_start, words = quoted, []
+                for token in re.findall(r"[^\W_]+|[\"“”«»]", clause):
+                    if token in tox.QUOTES:
+                        quoted = not quoted
+                    else:
+                        words.append(grammar.classify(token))
+                found.append(brute_patterns(words, quoted) if words else [])
+        worst = sorted((max(map(grammar.weight, p)) for p in found if p), reverse=True)
+        z = sum(w / 2**k for k, w in enumerate(worst)) if worst else grammar.without
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z + grammar.bias))))
+
+    got = {r["doc_id"]: r["score"] for r in tox.score(make(rows), grammar).collect()}
+    assert all(abs(got[d] - score(t)) < 1e-12 for d, t in rows)
