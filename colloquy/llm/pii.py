@@ -2,10 +2,12 @@
 
 Seeds are e-mail addresses, IP addresses, card numbers and telephone numbers found by fixed patterns
 (leftmost, non-overlapping for each kind; matches that fail their check are dropped and not tried
-again).  Candidates are the other tokens with a digit or an at sign.  A lexical pattern is the word
-before or after a token together with the token's shape.  Patterns and token values make a bipartite
-graph; a few rounds score patterns by the share of trusted values among their values, and values by
-the patterns they stand in.  Candidates that trusted patterns vouch for are added to the seeds' spans.
+again).  Candidates are tokens with a digit or an at sign and, of numbers that blanks divide, every run of
+up to PARTS of them.  Lexical patterns of a candidate are the word before it, and the one after it, with its
+shape; the two words before it, with its class; and its shape alone.  Patterns and values make a bipartite graph.
+A value that is a seed is trusted; rounds score patterns by the share of trusted values among theirs,
+and values by the patterns they stand in, until no pattern and no value changes.  Occurrences that overlap
+no seed are added if their value is trusted: because patterns vouch for it, or because it is a seed elsewhere.
 
 Offsets are code points, ends exclusive.  Cases: a null text is empty; repeated rows are judged alike; an
 empty table gives an empty result; without seeds nothing is added; other columns are ignored.
@@ -28,10 +30,14 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-CANDIDATE = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9._%+@-]++"
-CONTEXT = 40
+_NUMBER = r"\+?\(?[0-9]++(?:[().-]{1,2}[0-9]++)*+\)?(?![A-Za-z0-9@_%+])"
+CANDIDATE = rf"(?<![A-Za-z0-9._%+@-])(?:{_NUMBER}|(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9._%+@-]++)"
+#: Characters looked at on each side, most characters of a shape that is kept digit by digit, most parts of a number.
+CONTEXT, SHAPE, PARTS = 120, 40, 5
 
-ROUNDS, MIN_SUPPORT, MIN_CONFIDENCE, ACCEPT, TRUSTED = 3, 5, 0.8, 0.9, 0.9
+#: A bound on rounds; the graph is stable long before.
+ROUNDS = 20
+MIN_SUPPORT, MIN_CONFIDENCE, ACCEPT, TRUSTED = 5, 0.8, 0.9, 0.9
 
 
 BLOCK = 200
@@ -110,22 +116,54 @@ def base_spans(text: Column) -> Column:
 
 
 def _shape(value: Column) -> Column:
-    """A token with every digit as 9 and every run of letters as a: 99.9.99.999, a99@a.a"""
-    return F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), "[A-Za-z]+", "a")
+    """A token with every digit as 9 and every run of letters as a: 99.9.99.999, a99@a.a; long ones with runs as one."""
+    shape = F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), "[A-Za-z]+", "a")
+    return F.when(F.length(shape) <= SHAPE, shape).otherwise(F.left(F.regexp_replace(F.regexp_replace(shape, "9+", "9"), "(a9|9a)+a?", "x"), F.lit(SHAPE)))
+
+
+def _class(value: Column) -> Column:
+    n = F.length(_digits(value))
+    return F.when(value.contains("@"), "at").when(value.rlike("[A-Za-z]"), "mixed").when(n >= 14, "14").when(n >= 7, "7").otherwise("0")
 
 
 def _patterns(x: Column) -> Column:
-    left = F.lower(F.regexp_extract(x["before"], r"([\p{L}]+)[^\p{L}]*$", 1))
+    word = r"([\p{L}]+)[^\p{L}]*$"
+    left = F.lower(F.regexp_extract(x["before"], word, 1))
+    two = F.lower(F.regexp_extract(x["before"], r"([\p{L}]+)[^\p{L}]+[\p{L}]+[^\p{L}]*$", 1))
     right = F.lower(F.regexp_extract(x["after"], r"^[^\p{L}]*([\p{L}]+)", 1))
-    shape = F.left(_shape(x["value"]), F.lit(CONTEXT))
-    return F.array(F.concat(F.lit("<"), left, F.lit(" "), shape), F.concat(F.lit(">"), right, F.lit(" "), shape))
+    shape = _shape(x["value"])
+    pattern = lambda *parts: F.concat_ws(" ", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    lone = lambda p, needed: F.when(needed != "", p)
+    return F.array_compact(F.array(
+        lone(pattern("<", left, shape), left), lone(pattern(">", right, shape), right), lone(pattern("<<", two, left, _class(x["value"])), two), pattern("=", shape),
+    ))
+
+
+def _with_runs(tokens: Column) -> Column:
+    """Tokens and, where single blanks divide numbers, every run of up to PARTS of them."""
+
+    def runs(t: Column) -> Column:
+        def each(x: Column, i: Column) -> Column:
+            found, value, goes_on = [x], x["value"], ~x["value"].rlike("[A-Za-z@_%]")
+            for k in range(1, PARTS):
+                last, goes_on = F.get(t, i + k), goes_on & (F.get(t, i + k - 1)["after"] == " ")
+                goes_on = goes_on & ~last["value"].rlike("[A-Za-z@_%]")
+                value = F.concat_ws(" ", value, last["value"])
+                run = F.struct(x["start"].alias("start"), last["end"].alias("end"), value.alias("value"), x["before"].alias("before"), last["after"].alias("after"))
+                found.append(F.when(goes_on, run))
+            return F.array_compact(F.array(*found))
+
+        return F.flatten(F.transform(t, each))
+
+    return F.element_at(F.transform(F.array(tokens), runs), 1)
 
 
 def _bootstrap(candidates: DataFrame) -> DataFrame:
-    """Values that trusted patterns vouch for: value, k.  ``candidates``: value, k (null if no seed), patterns."""
+    """Trusted values: value, k.  ``candidates``: value, k (null if no seed), patterns."""
     values = cut(candidates.groupBy("value").agg(F.min("k").alias("k")), "pii_values")
     edges = cut(candidates.select(F.explode("patterns").alias("p"), "value").distinct(), "pii_edges")
     scored = cut(values.select("value", "k", F.when(F.col("k").isNotNull(), 1.0).otherwise(0.0).alias("score")), "pii_scores")
+    before = None
     for _ in range(ROUNDS):
         kinds = [F.sum(F.when(F.col("k") == k, F.col("score")).otherwise(0.0)).alias(f"s{k}") for k in range(len(KINDS))]
         told = edges.join(scored, "value").groupBy("p").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= TRUSTED).alias("support"), *kinds)
@@ -135,15 +173,21 @@ def _bootstrap(candidates: DataFrame) -> DataFrame:
         vouched = edges.join(trusted, "p").groupBy("value").agg(
             (1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("vouched"), F.max(F.struct("confidence", (-F.col("pk")).alias("turned"))).alias("by")
         )
-        vouched = cut(vouched, "pii_vouched")
         after = values.join(vouched, "value", "left").select(
             "value", F.coalesce("k", -F.col("by.turned")).alias("k"),
             F.when(F.col("k").isNotNull(), 1.0).otherwise(F.coalesce(F.col("vouched"), F.lit(0.0))).alias("score"),
         )
         after = cut(after, "pii_scores")
-        drop(scored, trusted, vouched)
+        drop(scored)
         scored = after
-    return values.where("k is null").select("value").join(scored.where(F.col("score") >= ACCEPT), "value").select("value", "k")
+        # a sum of hashes tells whether the trusted patterns and values are those of the round before
+        mark = lambda df, *c: df.agg(F.count("*"), F.sum(F.xxhash64(*c).cast("decimal(38,0)"))).first()
+        state = mark(trusted, "p", "pk"), mark(scored.where(F.col("score") >= TRUSTED), "value", "k")
+        drop(trusted)
+        if state == before:
+            break
+        before = state
+    return scored.where(F.col("score") >= ACCEPT).select("value", "k")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -151,20 +195,23 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64(text).cast("string")).alias("key"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
+    meets = lambda b, x: (b["start"] < x["end"]) & (b["end"] > x["start"])
+    is_it = lambda b, x: (b["start"] == x["start"]) & (b["end"] == x["end"])
+    each = _with_runs(located(F.col("text"), CANDIDATE))
+    # seeds themselves, and what overlaps none of them
+    whole = F.filter(each, lambda x: F.exists("base", lambda b: is_it(b, x)) | ~F.exists("base", lambda b: meets(b, x)))
     tokens = F.transform(
-        located(F.col("text"), CANDIDATE),
-        lambda x: F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _patterns(x).alias("patterns"),
-            # the first seed that overlaps the token
-            F.get(F.filter(F.col("base"), lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])), F.lit(0))["k"].alias("k"),
-        ),
-    )
+        whole,
+        lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _patterns(x).alias("patterns"), F.get(F.filter("base", lambda b: is_it(b, x)), F.lit(0))["k"].alias("k")),
+    )
     empty = F.array().cast("array<struct<start:int,end:int,value:string,patterns:array<string>,k:int>>")
     found = cut(rows.select("doc_id", "key", "base", F.when(F.col("text").rlike("[0-9@]"), tokens).otherwise(empty).alias("tokens")), "pii_found")
     candidates = cut(found.where(F.size("tokens") > 0).select("key", F.explode("tokens").alias("t")).select("key", "t.*").distinct(), "pii_candidates")
     accepted = cut(_bootstrap(candidates), "pii_accepted")
     added = candidates.where("k is null").drop("k").join(accepted, "value").groupBy("key").agg(F.collect_set(F.struct("start", "k", "end")).alias("added"))
-    added = cut(added, "pii_added")
+    # of runs of one number the longest stay
+    inside = lambda x, y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    added = cut(added.select("key", F.filter("added", lambda x: ~F.exists("added", lambda y: inside(x, y))).alias("added")), "pii_added")
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,k:int,end:int>>"))))
     return found.join(added, "key", "left").select("doc_id", "base", spans.alias("spans"))
 

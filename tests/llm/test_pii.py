@@ -54,6 +54,35 @@ def test_contexts_find_what_patterns_miss(make):
     assert all(rows[40][1][a:b].strip() for a, _, b in every)
 
 
+def test_precision_and_recall_on_planted_identifiers(make):
+    """Identifiers that the base patterns miss, among numbers and names that are none."""
+    rng = random.Random(6)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    words = ["".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(k, f"{prose(8)} reach me at +1 ({digits(3)}) 555-{digits(4)} {prose(5)} order {digits(5)} of {rng.randint(1900, 2030)} {prose(4)}") for k in range(95)]
+    rows += [(100 + k, f"{prose(6)} mail to {rng.choice(words)}.{digits(2)}@mail{k % 9}.example.com {prose(6)} version {k}.{k % 7} {prose(3)}") for k in range(95)]
+    planted = {}
+    for k in range(30):
+        # no plus sign; or a number beside another one, so that the seed has too many digits; or a name without domain
+        lost, before, after = [(f"({digits(3)}) 555-{digits(4)}", "reach me at ", " "), (f"+1 ({digits(3)}) 555-{digits(4)}", "", f" 190.137.{k}.204 "), (f"+1 ({digits(3)}) 555-{digits(4)}", "", f" {digits(9)} ")][k % 3]
+        head = f"{prose(7)} {before}"
+        rows.append((200 + k, f"{head}{lost}{after}{prose(5)} order {digits(5)} of {rng.randint(1900, 2030)}"))
+        planted[200 + k] = (len(head), 3, len(head) + len(lost))
+    got = spans(make, rows)
+    added = {(d, *s) for d, base, every in got for s in set(every) - set(base)}
+    want = {(d, *s) for d, s in planted.items()}
+    assert len(added & want) / len(want) >= 0.9, sorted(want - added)[:5]
+    assert len(added & want) / len(added) >= 0.9, sorted(added - want)[:5]
+
+
+def test_a_seed_elsewhere_is_known(make):
+    """A card that runs into another number is found by what it is elsewhere."""
+    rows = [(1, "pay with 4111111111111111 now"), (2, "pay 4111111111111111 2345 now"), (3, "4111111111111111 4111111111111111")]
+    got = {d: every for d, _, every in spans(make, rows)}
+    assert got == {1: [(9, 2, 25)], 2: [(4, 2, 20)], 3: [(0, 2, 16), (17, 2, 33)]}
+
+
 def test_cases(make):
     rows = [(1, "x@y.zz"), (1, "x@y.zz"), (None, "x@y.zz"), (2, "no data")]
     got = spans(make, rows)
