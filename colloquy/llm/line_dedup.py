@@ -1,16 +1,19 @@
 """Removal of passages that repeat across documents, with DataFrame functions only.
 
 A text is a list of words; a word ends at a space, a tab or a line break, and one of over LONG_WORD
-characters, as in scripts without spaces, is taken character by character.  Of any WINDOW successive
-chunks of CHUNK words at least one is kept, chosen by their words alone, so that two equal stretches of
-CHUNK + WINDOW - 1 words, wherever they begin and end, have at least one kept chunk in common.  Chunks
-that touch and occur again at one distance from their first occurrences are one piece, which is compared
-by its SHA-256 with that of its first occurrence; the match is extended word by word on both sides, by
-comparing the words.  Matched words are removed if together, in one run, they have ``min_run`` characters
-or MIN_WORDS words.  The first occurrence, in order of id and place, stays: every removed word has an
-equal one at a smaller place.
-
-Tables that are moved by chunk hash hold numbers only; words are fetched for the pieces.  A passage in a
+characters, as in scripts without spaces, is taken character by character.  Boundaries are chosen by
+a rolling hash, of the words' hashes, alone: a chunk of CHUNK words begins where the hash of two words says
+so, and in every WINDOW successive places without such a one at the smallest hash.  Two equal stretches of
+CHUNK + WINDOW - 1 words, wherever they begin and end, therefore have at least one chunk in common.
+
+Documents that are whole copies, by SHA-256, of an earlier one are told first and have no part in what follows.
+A chunk that occurs earlier is compared with the words of its first occurrence; where it begins or ends a
+stretch of such chunks, the match is extended on that side, by comparing the words, over the WINDOW words
+within which the next chunk begins.  Matched words are removed if together, in one run, they have ``min_run``
+characters or MIN_WORDS words.  The first occurrence, in order of id and place, stays: every removed word has
+an equal one at a smaller place.
+
+Tables that are moved by chunk hash hold numbers only; words are fetched for the chunks that repeat.  A passage in a
 third of all documents is one row in the table of first occurrences, and its occurrences are joined to
 that row by a join that Spark can split.
 
@@ -32,22 +35,22 @@ from colloquy.llm.common import cut, drop, may_match, original, prefixed
 LINE_END = r"(?<=\n)|(?<=[.] )"
 ENDS, MARK = ("\n", ". "), "\x00"
 BLANKS, BLANK_END = " \n\r\t", r"(?<=[ \n\r\t])"
-#: Words of a chunk, and chunks of which one is kept: 23 equal words have one in common.  The chunks that
-#: are kept touch, as WINDOW is not above CHUNK.
-CHUNK, WINDOW = 12, 12
+#: Words of a chunk, and successive places of which one begins a chunk: 37 equal words have one in common.
+CHUNK, WINDOW = 12, 26
 #: One of so many chunks (a power of two) is kept by what its first words say.
 KEPT_OF = 8
 #: Characters of a word, if it is not to be taken character by character.
 LONG_WORD = 32
 #: Least number of characters, or of words, of a run that goes.
 MIN_RUN, MIN_WORDS = 200, 50
-#: Words looked at on each side of a piece when its match is extended; beyond them is the next chunk.
-REACH = CHUNK + WINDOW
+#: Words looked at on each side of a stretch when its match is extended; before their end the next chunk begins.
+REACH = WINDOW
+#: The last word of a run that takes all of a text.
+ALL = (1 << 31) - 1
 #: Low bits of a chunk's hash that make room for its place.
 PLACE_BITS = 24
 
 KEY = ["doc_id", "_th"]
-FIRST = ["f_doc_id", "f_th"]
 
 
 def _split_behind(text: Column, ends: tuple[str, ...], pattern: str) -> Column:
@@ -68,19 +71,20 @@ def _trim(line: Column) -> Column:
     return F.trim(line, F.lit(BLANKS))
 
 
-def _long_words_split(text: Column, parts: Column) -> Column:
+def _long_words_split(parts: Column) -> Column:
     """``parts`` with every character of a long word on its own; what follows the word stays behind its last one."""
     def characters(p: Column) -> Column:
         n = F.length(_trim(p))
         each = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(p, i, F.when(i < n, 1).otherwise(2)))
         return F.when(n > LONG_WORD, each).otherwise(F.array(p))
 
-    return F.when(text.rlike(f"[^{BLANKS}]{{{LONG_WORD + 1}}}"), F.flatten(F.transform(parts, characters))).otherwise(parts)
+    # bytes are counted at once; a word of few characters may have more, and stays whole all the same
+    return _let(parts, lambda w: F.when(F.exists(w, lambda p: F.octet_length(p) > LONG_WORD), F.flatten(F.transform(w, characters))).otherwise(w))
 
 
 def tokens(text: Column) -> Column:
     """Words with what ends them; joined they are the text."""
-    return _long_words_split(text, _split_behind(text, tuple(BLANKS), BLANK_END))
+    return _long_words_split(_split_behind(text, tuple(BLANKS), BLANK_END))
 
 
 def words(text: Column) -> Column:
@@ -88,7 +92,7 @@ def words(text: Column) -> Column:
     spaced = text
     for blank in BLANKS[1:]:
         spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
-    return _long_words_split(text, F.split(spaced, " ", -1))
+    return _long_words_split(F.split(spaced, " ", -1))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -108,7 +112,8 @@ def _chunk_array(hashes: Column) -> Column:
     """
     starts = F.size(hashes) - CHUNK + 1
     at = lambda i: F.element_at(hashes, i)
-    says_so = lambda i: at(i).bitwiseXOR(F.shiftleft(at(i + 1), 7)).bitwiseAND(F.lit(KEPT_OF - 1)) == 0
+    # places count from 0 here
+    says_so = lambda h, i: h.bitwiseXOR(F.shiftleft(F.get(hashes, i + 1), 7)).bitwiseAND(F.lit(KEPT_OF - 1)) == 0
     of_words = lambda s: F.xxhash64(*[at(s + i) for i in range(CHUNK)])
     # no two are equal, as the place is in the low bits
     placed = lambda i: F.shiftleft(F.shiftright(at(i), PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long"))
@@ -124,7 +129,8 @@ def _chunk_array(hashes: Column) -> Column:
         gaps = F.zip_with(F.concat(F.array(F.lit(0)), said), F.concat(said, F.array(starts + 1)), lambda x, y: F.struct((x + 1).alias("a"), (y - 1).alias("b")))
         return F.concat(said, F.flatten(F.transform(F.filter(gaps, lambda g: g["b"] - g["a"] + 1 >= WINDOW), smallest)))
 
-    kept = _let(F.filter(F.sequence(F.lit(1), starts), says_so), places)
+    said = F.transform(F.slice(hashes, 1, F.greatest(starts, F.lit(0))), lambda h, i: F.when(says_so(h, i), i + 1))
+    kept = _let(F.array_compact(said), places)
     return F.when(starts > 0, F.transform(kept, lambda s: F.struct(s.alias("s"), of_words(s).alias("h"))))
 
 
@@ -134,67 +140,98 @@ def _chunks(keyed: DataFrame) -> DataFrame:
     return keyed.select(*KEY, F.explode(_let(hashes, _chunk_array)).alias("c")).select(*KEY, "c.s", "c.h")
 
 
-def _around(s: Column, e: Column) -> list[Column]:
-    """Digest of a piece, and the words around it, nearest first."""
-    start = F.greatest(s - REACH, F.lit(1))
-    return [
-        F.reverse(F.slice("words", start, s - start)).alias("before"),
-        F.unhex(F.sha2(F.array_join(F.slice("words", s, e - s + 1), " ").cast("binary"), 256)).alias("digest"),
-        F.slice("words", e + 1, F.lit(REACH)).alias("after"),
-    ]
+def _equal_first(a: Column, b: Column) -> Column:
+    """How many first words of two texts are equal; 0 where one is null or empty."""
+    x, y = F.split(a, " ", -1), F.split(b, " ", -1)
+    n = F.least(F.size(x), F.size(y))
+    differ = F.array_position(F.zip_with(F.slice(x, 1, n), F.slice(y, 1, n), lambda p, q: p == q), False)
+    return F.when((a != "") & (b != ""), F.when(differ > 0, differ - 1).otherwise(n)).otherwise(0).cast("int")
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """KEY of the documents that are whole copies of one with a smaller id."""
+    told = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("_th"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
+    told = cut(told, "lines_told")
+    firsts = told.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
+    copies = cut(may_match(told, cut(firsts, "lines_firsts"), ["sha"]).where("_maybe").drop("_maybe").join(firsts, "sha").where("doc_id > first").select(*KEY).distinct(), "lines_copies")
+    drop(told)
+    return copies
+
+
+def _repeats(keyed: DataFrame) -> DataFrame:
+    """KEY, s, h of every chunk that an earlier place has too, the first such place, and whether it begins or ends a
+    stretch of chunks that touch."""
+    chunks = cut(_chunks(keyed), "lines_chunks")
+    # most hashes are met once; of them, nothing but the hash is moved
+    often = cut(chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "lines_often")
+    again = cut(may_match(chunks, often, ["h"]).where("_maybe").drop("_maybe").join(often, "h"), "lines_again")
+    drop(chunks, often)
+    place = F.struct(*KEY, "s")
+    firsts = cut(again.groupBy("h").agg(F.min(place).alias("first")), "lines_firsts")
+    repeats = again.join(firsts, "h").where(place != F.col("first"))
+    along = Window.partitionBy(*KEY).orderBy("s")
+    begins = F.coalesce(F.lag("s").over(along) < F.col("s") - CHUNK, F.lit(True))
+    ends = F.coalesce(F.lead("s").over(along) > F.col("s") + CHUNK, F.lit(True))
+    out = cut(repeats.select(*KEY, "s", "h", "first", begins.alias("begins"), ends.alias("ends")), "lines_repeats")
+    drop(again, firsts)
+    return out
+
+
+def _contexts(keyed: DataFrame, repeats: DataFrame) -> DataFrame:
+    """KEY, s, h, own (false at the first place) and the words of each chunk, with the words before or after it, nearest
+    first, where it begins or ends a stretch."""
+    firsts = repeats.groupBy("first").agg(F.any_value("h").alias("h"), F.max("begins").alias("begins"), F.max("ends").alias("ends"))
+    places = repeats.select(*KEY, "s", "h", "begins", "ends", F.lit(True).alias("own")).unionByName(firsts.select("first.*", "h", "begins", "ends", F.lit(False).alias("own")))
+    wanted = cut(places.groupBy(*KEY).agg(F.collect_list(F.struct("s", "h", "begins", "ends", "own")).alias("wanted")), "lines_wanted")
+    # repeated rows are one here; the join keeps the grouping's partitioning
+    texts = may_match(keyed, wanted, KEY).where("_maybe").groupBy(*KEY).agg(F.any_value("text").alias("text"))
 
+    def around(w: Column, x: Column) -> Column:
+        s = x["s"]
+        start = F.greatest(s - REACH, F.lit(1))
+        return F.struct(
+            s.alias("s"), x["h"].alias("h"), x["own"].alias("own"), F.array_join(F.slice(w, s, F.lit(CHUNK)), " ").alias("words"),
+            F.when(x["begins"], F.array_join(F.reverse(F.slice(w, start, s - start)), " ")).alias("before"),
+            F.when(x["ends"], F.array_join(F.slice(w, s + CHUNK, F.lit(REACH)), " ")).alias("after"),
+        )
 
-def _equal_first(a: Column, b: Column) -> Column:
-    """How many first elements of two arrays are equal."""
-    n = F.least(F.size(a), F.size(b))
-    differ = F.array_position(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x.eqNullSafe(y)), False)
-    return F.when(differ > 0, differ - 1).otherwise(n).cast("int")
+    # the words of a text stay in its row: only the chunks and what stands around are copied
+    told = texts.join(wanted.hint("merge"), KEY).select(*KEY, F.explode(_let(words(F.col("text")), lambda w: F.transform("wanted", lambda x: around(w, x)))).alias("x"))
+    return told.select(*KEY, "x.*")
 
 
-def _told(keyed: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``pieces`` (doc_id, _th, s, e), each once, with digest, before and after."""
-    wanted = cut(pieces.groupBy(*KEY).agg(F.collect_set(F.struct("s", "e")).alias("wanted")), "lines_wanted")
-    # repeated rows are one here; the join keeps the grouping's partitioning
-    texts = may_match(keyed, wanted, KEY).where("_maybe").groupBy(*KEY).agg(F.any_value("text").alias("text"))
-    told = texts.join(wanted.hint("merge"), KEY).select(*KEY, words(F.col("text")).alias("words"), "wanted").select(*KEY, "words", F.explode("wanted").alias("x"))
-    return told.select(*KEY, F.col("x.s").alias("s"), F.col("x.e").alias("e"), *_around(F.col("x.s"), F.col("x.e")))
+def _merged(spans: Column) -> Column:
+    """Spans (s, e) in order, those that touch or overlap as one."""
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
+        return F.when(x["s"] <= last["e"] + 1, joined).otherwise(F.concat(done, F.array(x)))
+
+    ordered = F.array_sort(spans)
+    return F.aggregate(F.slice(ordered, 2, F.size(ordered)), F.slice(ordered, 1, 1), add)
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, _th, runs: for each document with repeats, the runs (s, e) of words that an earlier place has too."""
-    keyed = _keyed(docs)
-    chunks = cut(_chunks(keyed), "lines_chunks")
-    place = F.struct(*KEY, "s")
-    firsts = chunks.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "first")
-    firsts = cut(firsts, "lines_firsts")
-    # repeated rows tell each repeat several times
-    repeats = chunks.join(firsts, "h").where(place != F.col("first"))
-    repeats = repeats.select(*KEY, "s", F.col("first.doc_id").alias("f_doc_id"), F.col("first._th").alias("f_th"), (F.col("first.s") - F.col("s")).alias("off")).distinct()
-    # overlapping chunks at one distance from their first occurrences are one piece
-    along = Window.partitionBy(*KEY, *FIRST, "off").orderBy("s")
-    opened = repeats.withColumn("opens", F.coalesce(F.lag("s").over(along) < F.col("s") - CHUNK, F.lit(True)).cast("int"))
-    numbered = opened.withColumn("piece", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    pieces = numbered.groupBy(*KEY, *FIRST, "off", "piece").agg(F.min("s").alias("s"), (F.max("s") + CHUNK - 1).alias("e"))
-    pieces = cut(pieces.select(*KEY, *FIRST, "off", "s", "e"), "lines_pieces")
-    drop(chunks, firsts)
-    at_first = pieces.select(F.col("f_doc_id").alias("doc_id"), F.col("f_th").alias("_th"), (F.col("s") + F.col("off")).alias("s"), (F.col("e") + F.col("off")).alias("e")).distinct()
-    told = cut(_told(keyed, pieces.select(*KEY, "s", "e").unionByName(at_first)), "lines_told")
-    own = pieces.join(told, [*KEY, "s", "e"])
-    first = told.select(
-        F.col("doc_id").alias("f_doc_id"), F.col("_th").alias("f_th"), F.col("s").alias("f_s"), F.col("e").alias("f_e"), *[F.col(c).alias(f"first_{c}") for c in ("digest", "before", "after")]
-    )
-    same = own.withColumns({"f_s": F.col("s") + F.col("off"), "f_e": F.col("e") + F.col("off")}).join(first, [*FIRST, "f_s", "f_e"]).where("digest = first_digest")
-    found = same.select(
-        *KEY, (F.col("s") - _equal_first(F.col("before"), F.col("first_before"))).alias("s"), (F.col("e") + _equal_first(F.col("after"), F.col("first_after"))).alias("e")
-    )
-    found = cut(found.distinct(), "lines_found")
-    drop(pieces, told)
-    by_place = Window.partitionBy(*KEY).orderBy("s", "e")
-    reached = F.max("e").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    opened = found.withColumn("opens", F.coalesce(reached < F.col("s") - 1, F.lit(True)).cast("int"))
-    numbered = opened.withColumn("run", F.sum("opens").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = numbered.groupBy(*KEY, "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    return cut(runs.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("runs")), "lines_runs")
+    """doc_id, _th, runs: for each document with repeats, the runs (s, e) of words that an earlier place has too.
+
+    ``e`` is ALL in documents that are copies.
+    """
+    copies = _copies(docs)
+    marked = may_match(_keyed(docs), copies, KEY)
+    keyed = marked.where(~F.col("_maybe")).drop("_maybe").unionByName(marked.where("_maybe").drop("_maybe").join(copies, KEY, "left_anti"))
+    repeats = _repeats(keyed)
+    told = cut(_contexts(keyed, repeats), "lines_told")
+    drop(repeats)
+    first = told.where(~F.col("own")).select("h", *[F.col(c).alias(f"first_{c}") for c in ("words", "before", "after")])
+    same = told.where("own").join(first, "h").where("words = first_words")
+    reached = lambda side: _equal_first(F.col(side), F.col(f"first_{side}"))
+    found = same.select(*KEY, F.struct((F.col("s") - reached("before")).alias("s"), (F.col("s") + CHUNK - 1 + reached("after")).alias("e")).alias("x"))
+    runs = found.groupBy(*KEY).agg(_merged(F.collect_set("x")).alias("runs"))
+    whole = copies.withColumn("runs", F.array(F.struct(F.lit(1).alias("s"), F.lit(ALL).alias("e"))))
+    out = cut(runs.unionByName(whole), "lines_runs")
+    drop(told, copies)
+    return out
 
 
 def _cleaned(docs: DataFrame, min_run: int) -> DataFrame:
@@ -205,9 +242,12 @@ def _cleaned(docs: DataFrame, min_run: int) -> DataFrame:
     own = [c for c in marked.columns if c.startswith("_doc_")]
     rest = marked.where(~F.col("_maybe") | text.isNull()).select(*own, text.alias("_clean"), F.lit(0).cast("long").alias("_n_removed"))
     rows = marked.where(F.col("_maybe") & text.isNotNull()).join(runs.hint("merge"), KEY, "left").withColumn("_tokens", tokens(text))
+    # a run of ALL words ends where the text does
+    ended = F.transform(F.coalesce("runs", F.array().cast("array<struct<s:int,e:int>>")), lambda r: F.struct(r["s"].alias("s"), F.least(r["e"], F.size("_tokens")).alias("e")))
+    rows = rows.withColumn("runs", ended)
     passage = lambda r: F.array_join(F.slice("_tokens", r["s"], r["e"] - r["s"] + 1), "")
     goes = lambda r: (r["e"] - r["s"] + 1 >= MIN_WORDS) | (F.length(passage(r)) >= min_run)
-    rows = rows.withColumn("_runs", F.filter(F.coalesce("runs", F.array().cast("array<struct<s:int,e:int>>")), goes))
+    rows = rows.withColumn("_runs", F.filter("runs", goes))
     starts = F.concat(F.array(F.lit(1)), F.transform("_runs", lambda r: r["e"] + 1))
     ends = F.concat(F.transform("_runs", lambda r: r["s"] - 1), F.array(F.size("_tokens")))
     kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("_tokens", a, F.greatest(b - a + 1, F.lit(0)))))

@@ -124,3 +124,18 @@ def test_passages_of_one_to_five_lines_go_every_time(make):
     rows = [(k, line(9) + " ", s, " " + line(7)) for k, s in enumerate(shared * 2)]
     got = cleaned(make, [(k, a + s + b) for k, a, s, b in rows])
     assert all(got[k]["text"].split() == (a + (s if k < len(shared) else "") + b).split() for k, a, s, b in rows)
+
+
+def test_agrees_with_brute_force(make):
+    """Passages of 50 to 90 words anywhere, copies, passages within one document and repeated rows."""
+    from tests.llm.brute import left_after_dedup
+
+    rng = random.Random(17)
+    shared = [in_words(rng.randint(50, 90), rng) for _ in range(6)]
+    rows = []
+    for k in range(24):
+        parts = [in_words(rng.randint(1, 30), rng) for _ in range(3)]
+        rows.append((100 - k, rng.choice([" ", "\n"]).join([parts[0], rng.choice(shared), parts[1], rng.choice(shared), parts[2]])))
+    rows += [(200, rows[3][1]), (201, rows[3][1]), rows[5], (202, None), (203, ""), (204, shared[0]), (None, shared[0])]
+    got = sorted(((r["doc_id"], r["text"]) for r in ld.dedupe_lines(make(rows)).collect()), key=str)
+    assert got == sorted(left_after_dedup(rows, ld.MIN_RUN, ld.MIN_WORDS), key=str)
