@@ -4,8 +4,9 @@ The words of all test items make one automaton.  A training text is streamed thr
 the automaton tells the longest suffix read so far that occurs in an item.  Where that length reaches
 ``window`` words (or a whole item that is shorter occurs) the words of the match are hit.
 
-The automaton is sent to every task, so it holds items of at most SHARD_BYTES of text; a larger
-benchmark is split by a hash of the item's id, and each shard is one more pass over the rows.
+The automaton is sent to every task, so it holds items of about SHARD_BYTES of text; a larger benchmark
+is dealt into shards by a hash of the item, and each shard is one more pass over the rows, written down
+before the next one is read: the driver and the workers never hold more than one shard.
 
 Cases: null texts have no words; an item without words has no window; items that share an id count
 once; an item without an id marks words but is not listed; repeated rows are judged alike; empty
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import kept, map_texts, original, prefixed
+from colloquy.llm.common import cut, drop, kept, map_texts, original, prefixed
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -164,13 +165,17 @@ def detector(items: list[tuple[str | None, str]], window: int) -> Detector:
     return kept(f"detector {key}", lambda: Detector(items, window))
 
 
-def shards(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[list[tuple[str | None, str]]]:
-    """The items in lists of bounded size."""
+def shards(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[tuple[list[tuple[str | None, str]], bool]]:
+    """The items in lists of bounded size, one at a time, and whether a list is the last."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // shard_bytes))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r["item_id"], r["text"]) for r in items.where(part == k).orderBy("item_id", "text").collect()] for k in range(n)]
+    if n > 1:
+        items = cut(items.withColumn("_part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).repartition(n, "_part").sortWithinPartitions("_part"), "bench_parts")
+    for k in range(n):
+        part = items.where(F.col("_part") == k) if n > 1 else items
+        yield [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()], k == n - 1
+    drop(items)
 
 
 FOUND = "_found struct<n_words: bigint, spans: array<struct<a: int, b: int>>, items: array<string>>"
@@ -195,20 +200,25 @@ def _pass(rows: DataFrame, text: str, items: list[tuple[str | None, str]], windo
     return map_texts(rows, make, FOUND, keep=rows.columns, read=(text,))
 
 
+def _more(rows: DataFrame, text: str, items: list[tuple[str | None, str]], window: int) -> DataFrame:
+    """Rows with _found of earlier shards, and of this one."""
+    rows = _pass(rows.withColumnRenamed("_found", "_before"), text, items, window)
+    spans = merged_spans(F.concat("_before.spans", "_found.spans"))
+    both = F.struct(F.col("_found.n_words").alias("n_words"), spans.alias("spans"), F.array_union("_before.items", "_found.items").alias("items"))
+    return rows.withColumn("_found", both).drop("_before")
+
+
 def _search(docs: DataFrame, text: str, benchmark: DataFrame, window: int, shard_bytes: int) -> DataFrame:
     """``docs`` with _found over all shards."""
-    return _passes(docs, text, shards(benchmark, shard_bytes), window)
+    rows = None
+    for items, last in shards(benchmark, shard_bytes):
+        rows = _pass(docs, text, items, window) if rows is None else _more(rows, text, items, window)
+        rows = rows if last else _written(rows)
+    return rows
 
 
-def _passes(docs: DataFrame, text: str, parts: list[list[tuple[str | None, str]]], window: int) -> DataFrame:
-    first, *more = parts
-    rows = _pass(docs, text, first, window)
-    for items in more:
-        rows = _pass(rows.withColumnRenamed("_found", "_before"), text, items, window)
-        spans = merged_spans(F.concat("_before.spans", "_found.spans"))
-        both = F.struct(F.col("_found.n_words").alias("n_words"), spans.alias("spans"), F.array_union("_before.items", "_found.items").alias("items"))
-        rows = rows.withColumn("_found", both).drop("_before")
-    return rows
+def _written(rows: DataFrame) -> DataFrame:
+    return cut(rows, "bench_pass")
 
 
 def merged_spans(spans: Column) -> Column:
@@ -244,14 +254,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     Columns stay as they are; ``n_chars``, where there is one, follows the text.
     """
-    # all shards but the last are searched first; the last one's pass also cuts, in the same worker
-    *before, last = shards(benchmark, shard_bytes)
     rows = prefixed(docs)
-    own = rows.columns
-    earlier = _passes(rows, "_doc_text", before, window) if before else rows.withColumn("_found", F.lit(None).cast(FOUND.removeprefix("_found ")))
+    own, earlier, final = rows.columns, None, []
+    # all shards but the last are searched first; the last one's pass also cuts, in the same worker
+    for items, last in shards(benchmark, shard_bytes):
+        if last:
+            final = items
+        else:
+            earlier = _written(_pass(rows, "_doc_text", items, window) if earlier is None else _more(earlier, "_doc_text", items, window))
+    if earlier is None:
+        earlier = rows.withColumn("_found", F.lit(None).cast(FOUND.removeprefix("_found ")))
 
     def make():
-        found = detector(last, window)
+        found = detector(final, window)
 
         def cleaned(texts: list, told: list) -> tuple[None, list[list]]:
             out = []

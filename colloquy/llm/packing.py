@@ -6,9 +6,11 @@ the gaps finds for them the successor of that length, that is the smallest gap t
 are resolved by rank (the k-th piece of the length takes the k-th place); the gaps are updated; and the
 next length follows.  Pieces that no gap takes open new sequences.
 
-Ranks are made by a distributed two-level count.  The sweep itself needs only how many pieces have each
-length, at most ``capacity`` numbers however large the corpus is, and tells its result as intervals of
-ranks, which every task applies to its own pieces.
+Where each step runs: documents are cut into pieces, counted by length, ranked within their length (a two-level
+count) and placed by distributed jobs.  The sweep itself, over the sorted gaps, runs on the driver: since
+pieces of one length are alike, a superstep needs only how many there are, so that its input is at most
+``capacity`` numbers however large the corpus is, and its result is told as intervals of ranks, which every
+task applies to its own pieces.  A sweep over single gaps in tasks would give the same places.
 
 Cases: null text is empty, a document of the end token alone; repeated rows are packed as often as they
 occur; equal lengths are ranked by document and piece; an empty table gives an empty result; other
