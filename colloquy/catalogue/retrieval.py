@@ -75,8 +75,8 @@ h as (select sid, source_id, segment_index, row_number() over (order by keyword_
 near as (select s.sid, min(h.rank) as rank, any_value(s.segment_index) as segment_index from h join st0 s on s.source_id = h.source_id and abs(s.segment_index - h.segment_index) <= 1 where s.sid not in (select sid from h) group by s.sid),
 a as (select sid, 0 as part, rank, 0 as pos from h union all select sid, 1, rank, segment_index from near)
 select sid as ref_id, cast(row_number() over (order by part, rank, pos) as integer) as position, part = 1 as is_neighbour from a order by part, rank, pos limit 24""")
-def hybrid_search(spark, sf_dir):
-    """Keyword half with neighbours: the vectors of the test tables are not those of the segments."""
+def keyword_with_neighbours(spark, sf_dir):
+    """The keyword half with neighbours; flows.hybrid_search runs both halves."""
     seg = read_segments(spark, sf_dir)
     hits = ret.bm25(seg.select(F.lit("segment").alias("ref_type"), F.col("segment_id").alias("ref_id"), "source_id", "text"), [[w] for w in TERMS], stemmed=False)
     ranked = ret.with_rank(hits, "keyword_score", "rank", 8, F.col("ref_id"))

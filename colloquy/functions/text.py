@@ -179,6 +179,13 @@ def first_filled(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c.cast("string"), F.lit("")) for c in columns])
 
 
+def search_text(payload: Column, quote: Column) -> Column:
+    """Scalar values of a payload, and the quote; lists and objects are left out."""
+    values = F.map_values(F.from_json(payload, "map<string,string>"))
+    kept = F.filter(values, lambda v: v.isNotNull() & (v != "") & ~v.startswith("[") & ~v.startswith("{"))
+    return F.concat_ws(" ", kept, quote)
+
+
 def is_direct_message(channel: Column, *flags: Column) -> Column:
     named = F.coalesce(channel.rlike(r"(?i)^(dm|dms|direct|private)[-_]"), F.lit(False))
     for f in flags:

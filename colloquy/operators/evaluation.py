@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import UNSPECIFIED
+from colloquy.operators.grouped import quotes_overlap
 
 THRESHOLDS = (0.0, 0.5, 0.7, 0.8, 0.9)
 NO_RANK = 99
@@ -58,6 +59,27 @@ def hit_at_k(ranks: DataFrame, k: int = 3) -> DataFrame:
     return best.groupBy("mode").agg(F.count("*").alias("questions"), F.count_if(F.col("rank") <= k).alias("hits"), F.avg(F.coalesce("rank", F.lit(NO_RANK))).alias("mean_rank"))
 
 
+def expected_ranks(questions: DataFrame, segments: DataFrame, hits: DataFrame) -> DataFrame:
+    """mode, question_id, source_rank, rank: where the expected source, and the expected segment, come among a question's hits.
+
+    ``questions``: question_id, source_id, start_ts of the expected segment; ``hits``: mode, question_id, source_id, ref_id, rank.
+    """
+    expected = questions.join(segments.select("source_id", "start_ts", F.col("segment_id").alias("_wanted")), ["source_id", "start_ts"], "left")
+    rows = expected.select("question_id", F.col("source_id").alias("_source"), "_wanted").join(hits, "question_id")
+    at = lambda c: F.min(F.when(c, F.col("rank")))
+    return rows.groupBy("mode", "question_id").agg(at(F.col("source_id") == F.col("_source")).alias("source_rank"), at(F.col("ref_id") == F.col("_wanted")).alias("rank"))
+
+
+def decision_scores(golden: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Of golden items (golden_id, quote, deferred): decided ones, those found by an overlapping quote, and deferred ones that were recorded."""
+    # both sides are hand-labelled sets of one run
+    met = golden.join(decisions.select(F.col("quote").alias("_quote"), "source_id"), "source_id").where(quotes_overlap(F.col("quote"), F.col("_quote"))).select("golden_id").distinct()
+    rows = golden.join(met.withColumn("_found", F.lit(True)), "golden_id", "left")
+    found, deferred = F.coalesce("_found", F.lit(False)), F.col("deferred")
+    told = rows.agg(F.count_if(~deferred).alias("decided"), F.count_if(~deferred & found).alias("found"), F.count_if(deferred).alias("deferred"), F.count_if(deferred & found).alias("deferred_recorded"))
+    return told.withColumn("recall", F.coalesce(F.try_divide("found", "decided"), F.lit(0.0)))
+
+
 def owner_scores(matched: DataFrame) -> DataFrame:
     """Owners of matched pairs (golden_owner, owner): accuracy for named ones, abstentions kept."""
     named = F.col("golden_owner") != UNSPECIFIED

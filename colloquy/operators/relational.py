@@ -49,6 +49,20 @@ def ranked(df: DataFrame, partition: list[str], *order: Column, name: str = "ran
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
 
 
+def ranked_in_buckets(df: DataFrame, keys: list[str], bucket: Column, *order: Column, name: str = "rank") -> DataFrame:
+    """``ranked`` for keys that may hold a large part of all rows.
+
+    ``bucket`` is not null and never falls in the order within a key: rows are ranked within their bucket, and moved by how
+    many rows the buckets before have.
+    """
+    rows = df.withColumn("_bucket", bucket)
+    sizes = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select(*keys, "_bucket", before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    return rows.withColumn("_within", within).join(shifts, [*keys, "_bucket"]).withColumn(name, (F.col("_before") + F.col("_within")).cast("int")).select(*df.columns, name)
+
+
 def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return ranked(df, keys, *order, name="_n").where("_n = 1").drop("_n")
 
@@ -63,12 +77,6 @@ def next_reference(refs: DataFrame, column: str, prefix: str = "MOCK") -> DataFr
     return refs.agg((F.coalesce(F.max(number), F.lit(0)) + 1).alias("next_number"))
 
 
-def batches(df: DataFrame, partition: str, size: int, *order: Column) -> DataFrame:
-    """Batch numbers of ``size`` rows in order within a partition."""
-    n = F.row_number().over(Window.partitionBy(partition).orderBy(*order))
-    return df.withColumn("batch", F.floor((n - 1) / size).cast("int"))
-
-
 def changed_only(new: DataFrame, stored: DataFrame, key: str, digest: str) -> DataFrame:
     """Rows whose key and content hash are not stored as ingested."""
     return new.join(stored.where("status = 'ingested'").select(key, digest), [key, digest], "left_anti")

@@ -17,6 +17,11 @@ def queue_order() -> list[Column]:
     return [F.col("quote_verified").asc(), F.col("confidence").desc(), F.col("char_start").asc(), F.col("id").asc()]
 
 
+def history_order() -> list[Column]:
+    """Events as they happened."""
+    return [F.col("created_at").asc(), F.col("seq").asc()]
+
+
 def stale(extractions: DataFrame, now) -> DataFrame:
     """Pending extractions whose time has come; the boundary counts."""
     return extractions.where((F.col("status") == "pending") & F.col("expires_at").isNotNull() & (F.col("expires_at") <= F.lit(now)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
 from colloquy.functions.text import UNSPECIFIED
+from colloquy.operators.relational import ranked_in_buckets
 
 SECTIONS = (("attention", 2), ("to_decide", 1), ("moved", 3))
 FOLLOWUP_SECTIONS = (("action", "commitments", "What people committed to"), ("decision", "decisions", "What was decided"), ("risk", "risks", "Risks and blockers raised"))
@@ -34,6 +35,7 @@ def digest_sections(items: DataFrame, day) -> DataFrame:
     why = F.when(is_risk, F.concat(severity, F.lit(" severity risk"))).when(kind == "blocker", F.lit("blocker")).otherwise(F.lit("action without owner"))
     rows = items.withColumns({"urgency": urgency, "why": why, "choice": F.when(is_action & (owner == UNSPECIFIED) & (due == UNSPECIFIED), 0).when(kind == "request", 1)})
 
+    # the filter on a row number lets every task keep n rows of a scope before they meet
     def pick(df: DataFrame, condition: Column, n: int, *first: Column) -> DataFrame:
         w = Window.partitionBy("scope_key").orderBy(*first, *order)
         return df.where(condition).withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
@@ -45,8 +47,8 @@ def digest_sections(items: DataFrame, day) -> DataFrame:
     )
     rest = rest.join(two.select("scope_key", "id"), ["scope_key", "id"], "left_anti")
     today = F.coalesce(F.col("approved_on") == F.lit(day).cast("date"), F.lit(False))
-    any_today = F.max(today).over(Window.partitionBy("scope_key"))
-    three = rest.withColumns({"today": today, "any_today": any_today})
+    marked = rest.withColumn("today", today)
+    three = marked.join(marked.groupBy("scope_key").agg(F.max("today").alias("any_today")), "scope_key")
     three = pick(three, F.col("today") | ~F.col("any_today"), 3, F.when(F.col("today"), None).otherwise(F.col("approved_on")).desc_nulls_last()).select(
         "scope_key", "id", F.lit("moved").alias("section"), "position", F.when(F.col("today"), "approved today").otherwise("last approved").alias("because")
     )
@@ -96,8 +98,10 @@ def person_digests(actions: DataFrame, titles: DataFrame, approvals: DataFrame,
     rows = actions.where("status = 'approved' and extraction_type = 'action'").join(titles.select("source_id", "title"), "source_id", "left")
     rows = rows.join(approvals.select(F.col("extraction_id").alias("id"), F.to_date("approved_at").alias("approved_on")), "id", "left")
     rows = rows.select(tx.person_key(owner, identity).alias("person_key"), "id", tx.headline(F.col("payload"), F.col("verbatim_quote")).alias("text"), owner.alias("owner_as_stated"), due.alias("due_date"), "approved_on", "title")
-    order = Window.partitionBy("person_key").orderBy((F.col("due_date") == UNSPECIFIED).asc(), F.col("approved_on").asc_nulls_first(), "id")
-    return rows.withColumn("position", F.row_number().over(order))
+    # undated lines, and later days, come behind: a person with very many lines is ranked day by day
+    undated = F.col("due_date") == UNSPECIFIED
+    day = F.concat(F.when(undated, "1").otherwise("0"), F.coalesce(F.col("approved_on").cast("string"), F.lit("")))
+    return ranked_in_buckets(rows, ["person_key"], day, F.col("id"), name="position")
 
 
 def citation(title: Column) -> Column:
@@ -137,6 +141,22 @@ def followup_drafts(extractions: DataFrame, sources: DataFrame) -> DataFrame:
     return sources.join(parts, "source_id").select("source_id", F.concat(F.lit("Recap: "), F.col("title")).alias("subject"), body.alias("body"), "item_count", F.lit("draft").alias("status"))
 
 
+def record_order() -> list[Column]:
+    """Records by source, the newest version first."""
+    return [F.col("source_id").asc(), F.col("record_version").desc()]
+
+
+def digest_order() -> list[Column]:
+    return [F.col("digest_date").desc(), F.col("scope_key").asc()]
+
+
+def load_record(records: DataFrame, source_id: str, version: int | None = None) -> DataFrame:
+    """One record of a source: a version of it, or the newest."""
+    own = records.where(F.col("source_id") == source_id)
+    own = own.where(F.col("record_version") == version) if version is not None else own
+    return own.orderBy(*record_order()).limit(1)
+
+
 def usage_summary(calls: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Attempts, calls, cache hits, tokens, rates of model calls (call_id, outcome, cache_hit, input_tokens, output_tokens, latency_ms)."""
     grouped = calls.groupBy(*(keys or []))

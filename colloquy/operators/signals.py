@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.operators.relational import batches
+from colloquy.operators.relational import ranked_in_buckets
 from colloquy.schemas import QUEUED_CLASSES
 
 BATCH = 20
 
 
 def signal_batches(messages: DataFrame, size: int = BATCH) -> DataFrame:
-    """Messages with their batch within the channel, in time order."""
-    return batches(messages, "channel", size, F.col("ts"), F.col("id"))
+    """Messages with their batch within the channel, in time order.
+
+    A busy channel is ranked day by day: ``ts`` is an ISO time, of which the first ten characters are the day.
+    """
+    day = F.coalesce(F.left(F.col("ts").cast("string"), F.lit(10)), F.lit(""))
+    rows = ranked_in_buckets(messages, ["channel"], day, F.col("ts").asc_nulls_first(), F.col("id"), name="_n")
+    return rows.withColumn("batch", F.floor((F.col("_n") - 1) / size).cast("int")).drop("_n")
 
 
 def render_batches(batched: DataFrame) -> DataFrame:

@@ -66,6 +66,26 @@ def sync_approved(extractions: DataFrame, writes: DataFrame, first_number: int =
     return numbered.withColumn("external_ref", F.concat(F.lit(f"{prefix}-"), (F.col("_before") + F.col("_k") + first_number - 1).cast("string"))).withColumnRenamed("source_ref", "extraction_id").drop("_b", "_k", "_before")
 
 
+def seed_backlog(items: DataFrame, backlog: DataFrame) -> DataFrame:
+    """``items`` with the rows that were seeded replaced by a backlog; they have no source_ref and come beside what was written."""
+    kept = items.where(~F.coalesce("seeded", F.lit(False)))
+    new = backlog.withColumns({"source_ref": F.lit(None).cast("string"), "seeded": F.lit(True)})
+    return kept.unionByName(new, allowMissingColumns=True)
+
+
+def undo_unrecorded(items: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items that stay, items taken back): one that was created for an extraction, but of which no write is recorded,
+    goes again, as tracker and audit cannot share a transaction."""
+    recorded = writes.select("external_ref").distinct()
+    own = F.col("source_ref").isNotNull()
+    lost = items.where(own).join(recorded, "external_ref", "left_anti")
+    return items.join(lost.select("external_ref"), "external_ref", "left_anti"), lost
+
+
+def tracker_order() -> list[Column]:
+    return [F.col("created_at").asc(), F.col("external_ref").asc()]
+
+
 def attempts(outcomes: DataFrame, provider: str, now) -> DataFrame:
     """Append-only rows of every attempt."""
     reason = F.when(F.col("outcome") == "blocked", F.concat(F.lit("status is "), F.coalesce("status", F.lit("missing")))).when(F.col("outcome") == "deduplicated", F.lit("already written"))

@@ -155,12 +155,6 @@ def payload_of(spec: ExtractionSpec, meeting_date: Column) -> Column:
     return F.to_json(F.struct(F.try_element_at(item, F.lit("what")).alias("what"), get("owner").alias("owner"), due["value"].alias("due_date"), due["date_type"].alias("due_date_type"), due["stated_text"].alias("due_date_stated"), due["rule"].alias("due_date_rule")))
 
 
-def search_text(payload: Column, quote: Column) -> Column:
-    """Scalar values of a payload and the quote."""
-    values = F.filter(F.map_values(F.from_json(payload, "map<string,string>")), lambda v: v.isNotNull() & (v != "") & ~v.startswith("["))
-    return F.concat_ws(" ", values, quote)
-
-
 def chunk_requests(segments: DataFrame, sources: DataFrame, prompt: Prompt, provider: str = "plugin", model: str = "model") -> DataFrame:
     """A request for each chunk of consenting sources: source_id, chunk_id, key, prompt, source_text."""
     agreed = sources.where(F.col("consent_flag").eqNullSafe(True) & (F.col("status") == "ingested"))

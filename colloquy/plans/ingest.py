@@ -22,6 +22,11 @@ class Ingested:
     sources: DataFrame
     segments: DataFrame
     reports: DataFrame
+    judged: DataFrame
+
+    def release(self) -> None:
+        """Let go of the parsed files that the three results are read from."""
+        self.judged.unpersist()
 
 
 def _read(spark: SparkSession, manifest: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +60,7 @@ def ingest_transcripts(spark: SparkSession, manifest: DataFrame, root: str, stor
     reports = judged.select("source_id", "status", "format", "bytes_read", "content_hash", "defects", "reason").join(told, "source_id", "left").join(silent, "source_id", "left")
     none = F.lit(None).cast("string")
     sources = judged.select(*ROW, "status", "content_hash", F.nullif("reason", F.lit("")).alias("reason")).unionByName(refused.select(*ROW, "status", none.alias("content_hash"), "reason"))
-    return Ingested(sources, segments, reports)
+    return Ingested(sources, segments, reports, judged)
 
 
 def ingest_chats(spark: SparkSession, manifest: DataFrame, root: str) -> Ingested:
@@ -70,4 +75,4 @@ def ingest_chats(spark: SparkSession, manifest: DataFrame, root: str) -> Ingeste
     reports = judged.select("source_id", "status", "direct_messages_excluded", "dm_channels", F.size("messages").alias("n_messages"), "defects", "reason")
     none = F.lit(None).cast("string")
     sources = judged.select(*ROW, "status", "content_hash", F.nullif("reason", F.lit("")).alias("reason")).unionByName(refused.select(*ROW, "status", none.alias("content_hash"), "reason"))
-    return Ingested(sources, messages, reports)
+    return Ingested(sources, messages, reports, judged)

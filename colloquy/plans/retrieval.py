@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.porter import porter_tokens, stem, tokens
-from colloquy.functions.text import verify_quote
+from colloquy.functions.text import search_text, verify_quote
 from colloquy.functions.vectors import dot, hashing_embedder
 from colloquy.operators.segments import neighbours
 
@@ -95,18 +96,22 @@ def with_rank(df: DataFrame, score: str, rank: str, limit: int, *ties: Column) -
     return top.withColumn(rank, F.row_number().over(Window.orderBy(F.col(score).desc(), *ties)))
 
 
-def keyword_search(segments: DataFrame, extractions: DataFrame, question: str, limit: int = TOP_K, scope=None, stemmed: bool = True) -> DataFrame:
+def keyword_search(segments: DataFrame, extractions: DataFrame, question: str, limit: int = TOP_K, scope=None, stemmed: bool = True, sources: DataFrame | None = None) -> DataFrame:
     """Ranked hits (ref_type, ref_id, source_id, text, keyword_score, keyword_rank) of both corpora.
 
-    Each corpus keeps its own statistics; on equal scores segments come first.
+    Each corpus keeps its own statistics; on equal scores segments come first.  With ``sources``, segments of sources that
+    do not consent, and hits of unknown ones, are left out.
     """
     phrases = query_phrases(question) if stemmed else [[w] for w in query_words(question)]
     inside = F.col("source_id").isin(list(scope)) if scope else None
     a = bm25(segments.select(F.lit("segment").alias("ref_type"), F.col("segment_id").alias("ref_id"), "source_id", "text"), phrases, stemmed, inside)
-    items = extractions.withColumn("text", F.concat_ws(" ", F.map_values(F.from_json("payload", "map<string,string>")), "verbatim_quote"))
+    items = extractions.withColumn("text", search_text(F.col("payload"), F.col("verbatim_quote")))
     visible = F.col("status") == "approved"
     b = bm25(items.select(F.lit("extraction").alias("ref_type"), F.col("id").alias("ref_id"), "source_id", "text", "status"), phrases, stemmed, visible & inside if inside is not None else visible)
     both = a.unionByName(b.drop("status"))
+    if sources is not None:
+        agreed = F.col("consent_flag").eqNullSafe(True)
+        both = both.join(sources.select("source_id", agreed.alias("_agreed")), "source_id").where((F.col("ref_type") != "segment") | F.col("_agreed")).drop("_agreed")
     return with_rank(both, "keyword_score", "keyword_rank", limit, F.col("ref_type").desc(), F.col("ref_id"))
 
 
@@ -117,6 +122,18 @@ def dense_search(vectors: DataFrame, query: list[float], limit: int = TOP_K, sco
     return with_rank(scored, "dense_score", "dense_rank", limit, F.col("ref_type").desc(), F.col("ref_id"))
 
 
+def hydrate(hits: DataFrame, segments: DataFrame, extractions: DataFrame, sources: DataFrame) -> DataFrame:
+    """Hits (ref_type, ref_id, ...) as rows that can be cited: text, speaker, timestamp, char_start, char_end, title.
+
+    A reference to no segment, to no approved extraction, or to no source is dropped.
+    """
+    seg = segments.select(F.lit("segment").alias("ref_type"), F.col("segment_id").alias("ref_id"), "source_id", "text", "speaker", F.col("start_ts").alias("timestamp"), "char_start", "char_end")
+    ext = extractions.where("status = 'approved'").select(F.lit("extraction").alias("ref_type"), F.col("id").alias("ref_id"), "source_id", F.col("verbatim_quote").alias("text"), "speaker", "timestamp", "char_start", "char_end")
+    own = [c for c in hits.columns if c not in ("source_id", "text")]
+    # hits are at most as many as a question asks for; the corpus is not moved
+    return seg.unionByName(ext).join(F.broadcast(hits.select(*own)), ["ref_type", "ref_id"]).join(sources.select("source_id", "title"), "source_id")
+
+
 def reciprocal_rank_fusion(keyword: DataFrame, dense: DataFrame, limit: int = TOP_K, k: int = RRF_K) -> DataFrame:
     """Both rankings by the sum of 1 / (k + rank); ties in order of first appearance, keyword list first."""
     null = F.lit(None)
@@ -181,17 +198,60 @@ def chat_search(messages: DataFrame, query: str, limit: int = 10, scope=None) ->
     return with_rank(found, "keyword_score", "keyword_rank", limit, F.col("ref_id"))
 
 
+def build_postings(docs: DataFrame, path: str, stemmed: bool = True) -> None:
+    """An inverted index of ``docs`` (id, text): token, id, positions and length of the text, sorted by token.
+
+    Texts are tokenised here and not again by a search, which reads the row groups of its tokens.
+    """
+    terms = porter_tokens("text") if stemmed else plain_tokens(F.col("text"))
+    rows = docs.select("id", terms.alias("terms")).select("id", F.size("terms").alias("dl"), F.posexplode_outer("terms").alias("position", "token"))
+    postings = rows.groupBy(F.coalesce("token", F.lit("")).alias("token"), "id", "dl").agg(F.array_compact(F.array_sort(F.collect_list("position"))).alias("positions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # ids are part of the order, so that a very frequent token may go over partitions
+    postings.repartitionByRange(n, "token", "id").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(path)
+    lengths = postings.select("id", "dl").distinct()
+    lengths.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avg")).write.mode("overwrite").parquet(f"{path}_stats")
+
+
+def search_postings(spark: SparkSession, path: str, phrases: list[list[str]]) -> DataFrame:
+    """id, keyword_score of the texts that match: what bm25() tells, from an inverted index."""
+    postings = spark.read.parquet(path)
+    stats = spark.read.parquet(f"{path}_stats").first()
+    found = None
+    for k, phrase in enumerate(phrases):
+        starts = None
+        for at, word in enumerate(phrase):
+            same = F.col("token").startswith(word) & (F.col("token") != "") if at == len(phrase) - 1 else F.col("token") == word
+            rows = postings.where(same).select("id", "dl", F.explode("positions").alias("start")).withColumn("start", F.col("start") - at)
+            starts = rows if starts is None else starts.join(rows.select("id", "start").distinct(), ["id", "start"], "left_semi")
+        counts = starts.groupBy("id", "dl").agg(F.count("*").cast("double").alias("f")).withColumn("k", F.lit(k))
+        found = counts if found is None else found.unionByName(counts)
+    if found is None:
+        return postings.select("id").limit(0).withColumn("keyword_score", F.lit(0.0))
+    seen = found.groupBy("k").agg(F.count("*").cast("double").alias("seen"))
+    idf = F.log((stats["n"] - F.col("seen") + 0.5) / (F.col("seen") + 0.5))
+    weight = F.when(idf > 0, idf).otherwise(FLOOR)
+    part = weight * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / (stats["avg"] or 1.0)))
+    # one row a phrase
+    return found.join(F.broadcast(seen), "k").groupBy("id").agg(F.sum(part).alias("keyword_score"))
+
+
 def indexable(segments: DataFrame, sources: DataFrame, extractions: DataFrame) -> DataFrame:
     """Texts to be embedded: segments of consenting sources, approved extractions."""
     agreed = sources.where(F.col("consent_flag").eqNullSafe(True)).select("source_id")
     a = segments.join(agreed, "source_id", "left_semi").select(F.lit("segment").alias("ref_type"), F.col("segment_id").alias("ref_id"), "source_id", "text")
-    b = extractions.where("status = 'approved'").select(F.lit("extraction").alias("ref_type"), F.col("id").alias("ref_id"), "source_id", F.col("verbatim_quote").alias("text"))
+    b = extractions.where("status = 'approved'").select(F.lit("extraction").alias("ref_type"), F.col("id").alias("ref_id"), "source_id", search_text(F.col("payload"), F.col("verbatim_quote")).alias("text"))
     return a.unionByName(b)
 
 
-def build_index(texts: DataFrame, path: str) -> None:
-    """Vectors of texts, written with their hash, so that staleness is an anti-join."""
-    texts.select("ref_type", "ref_id", "source_id", hashing_embedder("text").alias("embedding"), F.sha2(F.col("text").cast("binary"), 256).alias("text_hash")).write.mode("overwrite").parquet(path)
+#: From a column of texts to a column of vectors.
+Embedder = Callable[[str], Column]
+
+
+def build_index(texts: DataFrame, path: str, embedder: Embedder = hashing_embedder) -> None:
+    """Vectors of texts by any embedder, written with their hash, so that staleness is an anti-join."""
+    hashed = F.sha2(F.col("text").cast("binary"), 256).alias("text_hash")
+    texts.select("ref_type", "ref_id", "source_id", embedder("text").alias("embedding"), hashed, F.current_timestamp().alias("built_at")).write.mode("overwrite").parquet(path)
 
 
 def load_index(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
@@ -207,4 +267,4 @@ def stale_vectors(texts: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def index_stats(index: DataFrame) -> DataFrame:
-    return index.groupBy("ref_type").agg(F.count("*").alias("n"))
+    return index.groupBy("ref_type").agg(F.count("*").alias("n"), F.max("built_at").alias("built_at"))

@@ -16,6 +16,12 @@ def replace_partitions(df: DataFrame, path: str, *keys: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def replace_sources(df: DataFrame, path: str, replaced: DataFrame, key: str = "source_id") -> None:
+    """Replace all rows of the keys in ``replaced`` by ``df``; a key without new rows keeps none."""
+    stored = df.sparkSession.read.parquet(path)
+    swap_in(stored.join(replaced.select(key).distinct(), key, "left_anti").select(*stored.columns).unionByName(df.select(*stored.columns)), path)
+
+
 def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("append").format(fmt).save(path)
 
