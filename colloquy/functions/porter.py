@@ -92,7 +92,8 @@ def stem(word: str) -> str:
 
 
 def tokens(text: str | None) -> list[str]:
-    folded = "".join(c for c in unicodedata.normalize("NFD", text or "") if not unicodedata.combining(c)).lower()
+    text = text or ""
+    folded = text.lower() if text.isascii() else "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).lower()
     return [stem(t) for t in TOKEN.findall(folded)]
 
 

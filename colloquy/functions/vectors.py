@@ -43,16 +43,40 @@ def _features(text: str) -> list[str]:
     return words + [" ".join(words[i : i + 3]) for i in range(len(words) - 2)]
 
 
+def _place(feature: str) -> tuple[int, float]:
+    h = hashlib.blake2b(feature.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return int.from_bytes(h[:4], "big"), 1.0 if h[4] & 1 else -1.0
+
+
+def hash_embeddings(texts, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """Signed feature hashing of words and word triples, scaled to unit length: a row a text.
+
+    Every distinct feature of the texts is hashed once.
+    """
+    known: dict[str, int] = {}
+    rows, features = [], []
+    for k, text in enumerate(texts):
+        own = _features(text or "")
+        rows.append(np.full(len(own), k))
+        features += [known.setdefault(f, len(known)) for f in own]
+    out = np.zeros((len(texts), dimensions))
+    if features:
+        places = np.array([_place(f) for f in known])
+        at = places[features]
+        np.add.at(out, (np.concatenate(rows), at[:, 0].astype(np.int64) % dimensions), at[:, 1])
+    norm = np.sqrt((out**2).sum(axis=1, keepdims=True))
+    return (out.astype(np.float32) / np.where(norm > 0, norm, 1.0)).astype(np.float32)
+
+
 def hash_embedding(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Signed feature hashing of words and word triples, scaled to unit length."""
-    out = np.zeros(dimensions, np.float32)
-    for feature in _features(text or ""):
-        h = hashlib.blake2b(feature.encode(), digest_size=8).digest()
-        out[int.from_bytes(h[:4], "big") % dimensions] += 1.0 if h[4] & 1 else -1.0
-    norm = float(np.sqrt((out.astype(np.float64) ** 2).sum()))
-    return out / norm if norm else out
+    return hash_embeddings([text], dimensions)[0]
+
+
+#: Texts whose features are held at once.
+EMBED = 500
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def hashing_embedder(texts: pd.Series) -> pd.Series:
-    return texts.map(hash_embedding)
+    rows = [row for at in range(0, len(texts), EMBED) for row in hash_embeddings(texts.iloc[at : at + EMBED].tolist())]
+    return pd.Series(rows, index=texts.index, dtype=object)

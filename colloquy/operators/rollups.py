@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
+from colloquy.functions.names import nfkc
 from colloquy.functions.text import UNSPECIFIED
 from colloquy.operators.relational import ranked_in_buckets
 
@@ -73,8 +74,9 @@ def person_groups(owners: DataFrame, participants: DataFrame | None = None, iden
 
     A common first name of many owners may be in a third of the rows: rows are first counted by owner.
     """
-    name = F.col("owner")
     counted = owners.groupBy("owner").agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
+    counted = counted.withColumn("owner", nfkc("owner"))
+    name = F.col("owner")
     keyed = counted.withColumns({"person_key": tx.person_key(name, identity), "alias": F.when(tx.is_unassigned(name), F.lit(UNSPECIFIED)).otherwise(tx.normalise_name(name))})
     aliases = keyed.groupBy("person_key", "alias").agg(F.min("seq").alias("seq"), F.sum("n").alias("n"))
     grouped = aliases.groupBy("person_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "alias"))), lambda x: x["alias"]).alias("aliases"), F.sum("n").alias("n_items"))
@@ -97,7 +99,9 @@ def person_digests(actions: DataFrame, titles: DataFrame, approvals: DataFrame,
     due = F.coalesce(F.nullif(_field("due_date"), F.lit("")), F.lit(UNSPECIFIED))
     rows = actions.where("status = 'approved' and extraction_type = 'action'").join(titles.select("source_id", "title"), "source_id", "left")
     rows = rows.join(approvals.select(F.col("extraction_id").alias("id"), F.to_date("approved_at").alias("approved_on")), "id", "left")
-    rows = rows.select(tx.person_key(owner, identity).alias("person_key"), "id", tx.headline(F.col("payload"), F.col("verbatim_quote")).alias("text"), owner.alias("owner_as_stated"), due.alias("due_date"), "approved_on", "title")
+    # names are put in their compatibility form once for each owner, not for each row
+    keys = rows.select(owner.alias("owner_as_stated")).distinct().withColumn("person_key", tx.person_key(nfkc("owner_as_stated"), identity))
+    rows = rows.select("id", tx.headline(F.col("payload"), F.col("verbatim_quote")).alias("text"), owner.alias("owner_as_stated"), due.alias("due_date"), "approved_on", "title").join(keys, "owner_as_stated")
     # undated lines, and later days, come behind: a person with very many lines is ranked day by day
     undated = F.col("due_date") == UNSPECIFIED
     day = F.concat(F.when(undated, "1").otherwise("0"), F.coalesce(F.col("approved_on").cast("string"), F.lit("")))
