@@ -47,8 +47,7 @@ def format_timestamp(seconds: Column) -> Column:
 
 
 def normalise_timestamp(x: Column) -> Column:
-    s = parse_timestamp(x)
-    return F.struct(format_timestamp(s).alias("ts"), s.alias("seconds"))
+    return let(parse_timestamp(x), lambda s: F.struct(format_timestamp(s).alias("ts"), s.alias("seconds")))
 
 
 def friday_of_week(d: Column, weeks: int = 0) -> Column:

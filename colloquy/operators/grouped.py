@@ -1,7 +1,7 @@
 """Order-dependent operators: chunk windows, greedy dedup, greedy pairing.
 
-Windows are walked along jump tables made of prefix sums.  The two greedy operators first make a table of
-candidate pairs by joins within a group, and then fold each group's candidates, in order, into their result.
+Windows are walked along jump tables made of prefix sums.  The two greedy operators fold each group's candidates,
+in order, into their result by higher-order functions.
 """
 
 from __future__ import annotations
@@ -69,13 +69,17 @@ def chunk_segments(segments: DataFrame, budget: int = CHUNK_BUDGET, overlap: int
 # --- greedy dedup ------------------------------------------------------------------------------
 
 
-def duplicate_reason(similar: Column, owner_rule: bool = True) -> Column:
-    """Why candidates ``a_`` and ``b_`` that share this much of their words are one, or null.  The relation is not transitive."""
-    same = F.col("a_quote") == F.col("b_quote")
-    near = tx.span_overlap(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")) >= SPAN_THRESHOLD
-    reason = F.when((similar >= TASK_THRESHOLD) & same, "identical_quote").when((similar >= TASK_THRESHOLD) & near, "overlapping_span")
-    named = (F.col("a_owner") == F.col("b_owner")) & (F.col("a_owner") != tx.UNSPECIFIED) & (tx.normalise_text(F.col("a_owner")) != "")
-    return reason.when(named & (similar >= ELSEWHERE_THRESHOLD), "same_owner") if owner_rule else reason
+def duplicate_reason(a: Column, b: Column, owner_rule: bool = True) -> Column:
+    """Why two candidates (quote, words, owner, start, end) are one, or null.  The relation is not transitive."""
+
+    def judge(similar: Column) -> Column:
+        same = a["quote"] == b["quote"]
+        near = tx.span_overlap(a["start"], a["end"], b["start"], b["end"]) >= SPAN_THRESHOLD
+        reason = F.when((similar >= TASK_THRESHOLD) & same, "identical_quote").when((similar >= TASK_THRESHOLD) & near, "overlapping_span")
+        named = (a["owner"] == b["owner"]) & (a["owner"] != tx.UNSPECIFIED) & (tx.normalise_text(a["owner"]) != "")
+        return reason.when(named & (similar >= ELSEWHERE_THRESHOLD), "same_owner") if owner_rule else reason
+
+    return tx.let(tx.containment(a["words"], b["words"]), judge)
 
 
 def greedy_dedup(candidates: DataFrame, owner_rule: bool = True) -> DataFrame:
@@ -83,38 +87,33 @@ def greedy_dedup(candidates: DataFrame, owner_rule: bool = True) -> DataFrame:
     survivor that it is, or that absorbs it, as source_id, extraction_type, key, survivor_key, reason.
 
     Candidates go by confidence (missing or zero: 0.5), place and key.  One that is a duplicate of an earlier
-    survivor belongs to the first such; all others survive.
+    survivor belongs to the first such; all others survive.  A meeting's candidates of one type are folded in
+    one row, so that what they come from is read once.
     """
     group = ["source_id", "extraction_type"]
     placed = F.col("char_start").isNotNull() & F.col("char_end").isNotNull()
     certain = F.when(F.isnan("confidence") | (F.col("confidence") == 0), None).otherwise(F.col("confidence"))
-    order = Window.partitionBy(*group).orderBy(F.coalesce(certain, F.lit(NO_CONFIDENCE)).desc(), F.when(placed, F.col("char_start")).asc_nulls_last(), "key")
-    empty = F.lit("")
-    rows = candidates.select(
-        *group, "key", F.row_number().over(order).alias("rank"), tx.normalise_text(F.coalesce("quote", empty)).alias("quote"), F.coalesce("owner", empty).alias("owner"),
-        F.when(placed, F.col("char_start")).alias("start"), F.when(placed, F.col("char_end")).alias("end"), tx.content_words(F.coalesce("task", empty)).alias("words"),
+    empty, place = F.lit(""), F.when(placed, F.col("char_start"))
+    node = F.struct(
+        (-F.coalesce(certain, F.lit(NO_CONFIDENCE))).alias("doubt"), place.isNull().alias("nowhere"), place.alias("start"), "key", F.when(placed, F.col("char_end")).alias("end"),
+        tx.normalise_text(F.coalesce("quote", empty)).alias("quote"), F.coalesce("owner", empty).alias("owner"), tx.content_words(F.coalesce("task", empty)).alias("words"),
     )
-    # duplicates share words: pairs meet by a word, and the words that they share are counted
-    words = rows.select(*group, "rank", F.size("words").alias("n"), F.explode("words").alias("word"))
-    side = lambda mark: words.select(*group, "word", F.col("rank").alias(f"{mark}_rank"), F.col("n").alias(f"{mark}_n"))
-    met = side("a").join(side("b"), [*group, "word"]).where("a_rank < b_rank").groupBy(*group, "a_rank", "b_rank", "a_n", "b_n").agg(F.count("*").alias("shared"))
-    smaller = F.least("a_n", "b_n")
-    met = met.where(smaller > 1).withColumn("similar", F.col("shared") / smaller).where(F.col("similar") >= min(TASK_THRESHOLD, ELSEWHERE_THRESHOLD))
-    for mark in ("a", "b"):
-        met = met.join(rows.select(*group, *[F.col(c).alias(f"{mark}_{c}") for c in ("rank", "quote", "owner", "start", "end")]), [*group, f"{mark}_rank"])
-    pairs = met.select(*group, F.col("b_rank").alias("rank"), F.struct(F.col("a_rank").alias("to"), duplicate_reason(F.col("similar"), owner_rule).alias("reason")).alias("earlier"))
-    earlier = pairs.where("earlier.reason is not null").groupBy(*group, "rank").agg(F.array_sort(F.collect_list("earlier")).alias("earlier"))
-    folded = rows.select(*group, "rank", "key").join(earlier, [*group, "rank"], "left").groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("rank", "key", "earlier"))).alias("nodes"))
-
-    def settle(told: Column, node: Column) -> Column:
-        # an earlier node is a survivor if it belongs to itself
-        surviving = F.filter(node["earlier"], lambda x: F.get(told, x["to"] - 1)["to"] == x["to"])
-        own = F.struct(node["rank"].alias("to"), F.lit(None).cast("string").alias("reason"))
-        return F.concat(told, F.array(F.coalesce(F.get(surviving, F.lit(0)), own)))
-
-    told = folded.withColumn("told", F.aggregate("nodes", F.array().cast("array<struct<to:int,reason:string>>"), settle))
-    each = told.select(*group, "nodes", F.explode(F.arrays_zip(F.col("nodes.key").alias("key"), F.col("told").alias("told"))).alias("x"))
-    return each.select(*group, "x.key", F.get("nodes", F.col("x.told.to") - 1)["key"].alias("survivor_key"), F.col("x.told.reason").alias("reason"))
+    rows = candidates.select(*group, node.alias("node"))
+    kind = rows.schema["node"].dataType.simpleString()
+    folded = rows.groupBy(*group).agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("survivors"), F.array().cast("array<struct<key:string,survivor_key:string,reason:string>>").alias("told"))
+
+    def settle(state: Column, node: Column) -> Column:
+        first = F.get(F.filter(state["survivors"], lambda s: duplicate_reason(s, node, owner_rule).isNotNull()), F.lit(0))
+
+        def add(s: Column) -> Column:
+            told = F.struct(node["key"].alias("key"), F.coalesce(s["key"], node["key"]).alias("survivor_key"), F.when(s.isNotNull(), duplicate_reason(s, node, owner_rule)).alias("reason"))
+            survivors = F.when(s.isNull(), F.concat(state["survivors"], F.array(node))).otherwise(state["survivors"])
+            return F.struct(survivors.alias("survivors"), F.concat(state["told"], F.array(told)).alias("told"))
+
+        return tx.let(first, add)
+
+    return folded.select(*group, F.explode(F.aggregate("nodes", start, settle)["told"]).alias("t")).select(*group, "t.*")
 
 
 # --- greedy pairing ----------------------------------------------------------------------------
