@@ -87,12 +87,15 @@ def tokens(text: Column) -> Column:
     return _long_words_split(_split_behind(text, tuple(BLANKS), BLANK_END))
 
 
+def _spaced(text: Column) -> Column:
+    for blank in BLANKS[1:]:
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return text
+
+
 def words(text: Column) -> Column:
     """``tokens`` without what ends them."""
-    spaced = text
-    for blank in BLANKS[1:]:
-        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
-    return _long_words_split(F.split(spaced, " ", -1))
+    return _long_words_split(F.split(_spaced(text), " ", -1))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -111,33 +114,40 @@ def _chunk_array(hashes: Column) -> Column:
     smallest of these; the first one of equals.  Both depend on nothing outside the WINDOW.
     """
     starts = F.size(hashes) - CHUNK + 1
-    at = lambda i: F.element_at(hashes, i)
     # places count from 0 here
     says_so = lambda h, i: h.bitwiseXOR(F.shiftleft(F.get(hashes, i + 1), 7)).bitwiseAND(F.lit(KEPT_OF - 1)) == 0
-    of_words = lambda s: F.xxhash64(*[at(s + i) for i in range(CHUNK)])
     # no two are equal, as the place is in the low bits
-    placed = lambda i: F.shiftleft(F.shiftright(at(i), PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long"))
+    placed = lambda h, i: F.shiftleft(F.shiftright(h, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long"))
 
     def smallest(gap: Column) -> Column:
-        window = lambda values: F.transform(
-            F.sequence(F.lit(1), F.size(values) - WINDOW + 1), lambda i: F.least(*[F.element_at(values, i + k) for k in range(WINDOW)])
-        )
-        found = _let(F.transform(F.sequence(gap["a"], gap["b"]), placed), lambda values: F.array_distinct(window(values)))
+        values = F.transform(F.slice(hashes, gap["a"], gap["n"]), lambda h, i: placed(h, gap["a"] + i))
+        found = _let(values, lambda v: F.array_distinct(F.transform(F.sequence(F.lit(1), gap["n"] - WINDOW + 1), lambda i: F.array_min(F.slice(v, i, F.lit(WINDOW))))))
         return F.transform(found, lambda v: v.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"))
 
     def places(said: Column) -> Column:
-        gaps = F.zip_with(F.concat(F.array(F.lit(0)), said), F.concat(said, F.array(starts + 1)), lambda x, y: F.struct((x + 1).alias("a"), (y - 1).alias("b")))
-        return F.concat(said, F.flatten(F.transform(F.filter(gaps, lambda g: g["b"] - g["a"] + 1 >= WINDOW), smallest)))
+        # between what stands before the first one and behind the last one
+        ends = F.concat(F.array(F.lit(0)), said, F.array(starts + 1))
+        wide = lambda e: F.array_compact(
+            F.transform(e, lambda x, i: F.when(F.get(e, i + 1) - x > WINDOW, F.struct((x + 1).alias("a"), (F.get(e, i + 1) - x - 1).alias("n"))))
+        )
+        return F.concat(said, F.flatten(F.transform(_let(ends, wide), smallest)))
 
     said = F.transform(F.slice(hashes, 1, F.greatest(starts, F.lit(0))), lambda h, i: F.when(says_so(h, i), i + 1))
     kept = _let(F.array_compact(said), places)
-    return F.when(starts > 0, F.transform(kept, lambda s: F.struct(s.alias("s"), of_words(s).alias("h"))))
+    return F.when(starts > 0, F.transform(kept, lambda s: F.struct(s.alias("s"), F.xxhash64(F.slice(hashes, s, F.lit(CHUNK))).alias("h"))))
+
+
+def _hashes(text: Column) -> Column:
+    """Hashes of a text's words; only a text with a long word is split once more."""
+    plain = F.split(_spaced(text), " ", -1)
+    # bytes are counted at once; they are at least as many as characters
+    short = F.transform(plain, lambda w: F.when(F.octet_length(w) <= LONG_WORD, F.xxhash64(w)))
+    return _let(short, lambda h: F.when(F.size(F.array_compact(h)) == F.size(h), h).otherwise(F.transform(words(text), lambda w: F.xxhash64(w))))
 
 
 def _chunks(keyed: DataFrame) -> DataFrame:
     """doc_id, _th, s, h of every chunk."""
-    hashes = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
-    return keyed.select(*KEY, F.explode(_let(hashes, _chunk_array)).alias("c")).select(*KEY, "c.s", "c.h")
+    return keyed.select(*KEY, F.explode(_let(_hashes(F.col("text")), _chunk_array)).alias("c")).select(*KEY, "c.s", "c.h")
 
 
 def _equal_first(a: Column, b: Column) -> Column:
@@ -159,8 +169,8 @@ def _copies(docs: DataFrame) -> DataFrame:
 
 
 def _repeats(keyed: DataFrame) -> DataFrame:
-    """KEY, s, h of every chunk that an earlier place has too, the first such place, and whether it begins or ends a
-    stretch of chunks that touch."""
+    """KEY, s, h of chunks that an earlier place has too, which cover all words of such chunks; the first such place, and
+    whether it begins or ends a stretch of chunks that touch."""
     chunks = cut(_chunks(keyed), "lines_chunks")
     # most hashes are met once; of them, nothing but the hash is moved
     often = cut(chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "lines_often")
@@ -170,9 +180,12 @@ def _repeats(keyed: DataFrame) -> DataFrame:
     firsts = cut(again.groupBy("h").agg(F.min(place).alias("first")), "lines_firsts")
     repeats = again.join(firsts, "h").where(place != F.col("first"))
     along = Window.partitionBy(*KEY).orderBy("s")
-    begins = F.coalesce(F.lag("s").over(along) < F.col("s") - CHUNK, F.lit(True))
-    ends = F.coalesce(F.lead("s").over(along) > F.col("s") + CHUNK, F.lit(True))
-    out = cut(repeats.select(*KEY, "s", "h", "first", begins.alias("begins"), ends.alias("ends")), "lines_repeats")
+    before, after = F.lag("s").over(along), F.lead("s").over(along)
+    rows = repeats.select(*KEY, "s", "h", "first", before.alias("before"), after.alias("after"), (F.row_number().over(along) % 2 == 0).alias("even"))
+    # of two neighbours one may be spared if the chunks beside it have all of its words
+    rows = rows.where(~(F.col("even") & F.coalesce(F.col("after") - F.col("before") <= CHUNK, F.lit(False))))
+    begins, ends = F.coalesce(F.col("before") < F.col("s") - CHUNK, F.lit(True)), F.coalesce(F.col("after") > F.col("s") + CHUNK, F.lit(True))
+    out = cut(rows.select(*KEY, "s", "h", "first", begins.alias("begins"), ends.alias("ends")), "lines_repeats")
     drop(again, firsts)
     return out
 
