@@ -254,18 +254,20 @@ def _cleaned(docs: DataFrame, min_run: int) -> DataFrame:
     text = F.col("_doc_text")
     own = [c for c in marked.columns if c.startswith("_doc_")]
     rest = marked.where(~F.col("_maybe") | text.isNull()).select(*own, text.alias("_clean"), F.lit(0).cast("long").alias("_n_removed"))
-    rows = marked.where(F.col("_maybe") & text.isNotNull()).join(runs.hint("merge"), KEY, "left").withColumn("_tokens", tokens(text))
+    rows = marked.where(F.col("_maybe") & text.isNotNull()).join(runs.hint("merge"), KEY, "left")
+    # what a generator makes is computed once, and not copied into every expression that reads it
+    rows = rows.select(*own, "runs", F.explode(F.array(tokens(text))).alias("_tokens"))
     # a run of ALL words ends where the text does
     ended = F.transform(F.coalesce("runs", F.array().cast("array<struct<s:int,e:int>>")), lambda r: F.struct(r["s"].alias("s"), F.least(r["e"], F.size("_tokens")).alias("e")))
-    rows = rows.withColumn("runs", ended)
     passage = lambda r: F.array_join(F.slice("_tokens", r["s"], r["e"] - r["s"] + 1), "")
     goes = lambda r: (r["e"] - r["s"] + 1 >= MIN_WORDS) | (F.length(passage(r)) >= min_run)
-    rows = rows.withColumn("_runs", F.filter("runs", goes))
+    rows = rows.select(*own, "_tokens", F.explode(F.array(F.filter(ended, goes))).alias("_runs"))
     starts = F.concat(F.array(F.lit(1)), F.transform("_runs", lambda r: r["e"] + 1))
     ends = F.concat(F.transform("_runs", lambda r: r["s"] - 1), F.array(F.size("_tokens")))
     kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("_tokens", a, F.greatest(b - a + 1, F.lit(0)))))
     removed = F.aggregate("_runs", F.lit(0), lambda n, r: n + F.size(F.filter(lines(passage(r)), lambda u: u != "")))
-    rows = rows.select(*own, F.when(F.size("_runs") > 0, F.array_join(kept, "")).otherwise(text).alias("_clean"), removed.cast("long").alias("_n_removed"))
+    made = F.struct(F.when(F.size("_runs") > 0, F.array_join(kept, "")).otherwise(text).alias("_clean"), removed.cast("long").alias("_n_removed"))
+    rows = rows.select(*own, F.explode(F.array(made)).alias("_made")).select(*own, "_made._clean", "_made._n_removed")
     return rest.unionByName(rows)
 
 
