@@ -165,7 +165,7 @@ def indexable_union(spark, sf_dir):
 
     seg = read_segments(spark, sf_dir).where("speaker <> 'system'").withColumn("source_id", F.col("source_id").cast("string"))
     agreed = seg.select("source_id").distinct().withColumn("consent_flag", F.lit(True))
-    own = items(spark, sf_dir).select(F.col("id").cast("string").alias("id"), F.col("scope_key").alias("source_id"), "status", F.col("text").alias("verbatim_quote"))
+    own = items(spark, sf_dir).select(F.col("id").cast("string").alias("id"), F.col("scope_key").alias("source_id"), "status", "payload", F.col("text").alias("verbatim_quote"))
     return indexable(seg, agreed, own).select("ref_type", "ref_id")
 
 
