@@ -13,7 +13,6 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -22,10 +21,6 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.common import cut, drop, id_crc, map_texts
 
-#: Characters that Python's \w takes and that are neither letters nor decimal digits, such as ½ and ².
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-#: Letters only, as Java's \p{L}, with which words are counted.
-WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
 LONGEST = 5
 FOLDS, HELD_OUT = 5, 0
 ROWS_PER_LANG, MIN_WORD, MIN_GRAM = 3000, 3, 2
@@ -33,6 +28,21 @@ MEMO_ROWS = 200_000
 SCALE = 1 << 31
 
 
+class Letters(dict):
+    """For str.translate: letters, which Java's \\p{L} counts words by, stay; all else is a space."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code if chr(code).isalpha() else 32
+        return self[code]
+
+
+LETTERS = Letters()
+
+
+def found_words(text: str) -> list[str]:
+    return text.lower().translate(LETTERS).split()
+
+
 def held_out(doc_id) -> Column:
     return F.coalesce(id_crc(doc_id) % FOLDS == HELD_OUT, F.lit(False))
 
@@ -84,7 +94,7 @@ class Predictor:
         self.rows = np.zeros((MEMO_ROWS, max(1, len(self.model.langs))))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(WORD.findall(text.lower())) if text and self.model.langs else {}
+        words = Counter(found_words(text)) if text and self.model.langs else {}
         if not words:
             return "und", 0.0
         total = np.zeros(len(self.model.langs))
