@@ -188,9 +188,11 @@ def may_match(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """
     place = F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS)) + 1
     bitmaps = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
-    bit = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    known = F.getbit(byte, (bit % 8).cast("int")) == 1
+    # as whole numbers of 64 bits, eight bytes each from the highest: a row's test is a look into an array
+    long_at = lambda i: F.conv(F.hex(F.substring("_bits", i * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    bitmaps = bitmaps.select("_bucket", F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("_bits") - 1) / 8).cast("int")), long_at).alias("_bits"))
+    bit = F.bitmap_bit_position(place).cast("int")
+    known = F.getbit(F.get("_bits", F.shiftright(bit, 6)), bit.bitwiseAND(F.lit(63)).bitwiseXOR(F.lit(56))) == 1
     joined = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bitmaps), "_bucket", "left")
     return joined.withColumn("_maybe", F.coalesce(known, F.lit(False))).drop("_bucket", "_bits")
 

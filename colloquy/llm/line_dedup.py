@@ -107,8 +107,8 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _chunk_array(hashes: Column) -> Column:
-    """Chunks (s, h) of hashed words: places from 1 and the hash of the words.
+def _chunk_places(hashes: Column) -> Column:
+    """Places of chunks of hashed words, from 1.
 
     A chunk is kept if its first two words say so and, where WINDOW successive ones are not, if it is the
     smallest of these; the first one of equals.  Both depend on nothing outside the WINDOW.
@@ -133,8 +133,7 @@ def _chunk_array(hashes: Column) -> Column:
         return F.concat(said, F.flatten(F.transform(_let(ends, wide), smallest)))
 
     said = F.transform(F.slice(hashes, 1, F.greatest(starts, F.lit(0))), lambda h, i: F.when(says_so(h, i), i + 1))
-    kept = _let(F.array_compact(said), places)
-    return F.when(starts > 0, F.transform(kept, lambda s: F.struct(s.alias("s"), F.xxhash64(F.slice(hashes, s, F.lit(CHUNK))).alias("h"))))
+    return F.when(starts > 0, _let(F.array_compact(said), places))
 
 
 def _hashes(text: Column) -> Column:
@@ -147,15 +146,17 @@ def _hashes(text: Column) -> Column:
 
 def _chunks(keyed: DataFrame) -> DataFrame:
     """doc_id, _th, s, h of every chunk."""
-    return keyed.select(*KEY, F.explode(_let(_hashes(F.col("text")), _chunk_array)).alias("c")).select(*KEY, "c.s", "c.h")
+    hashed = keyed.select(*KEY, F.explode(F.array(_hashes(F.col("text")))).alias("_hashes"))
+    placed = hashed.select(*KEY, "_hashes", F.explode(F.array(_chunk_places(F.col("_hashes")))).alias("_places")).select(*KEY, "_hashes", F.explode("_places").alias("s"))
+    # behind the generators chunks are hashed by generated code, and not by functions of arrays
+    return placed.select(*KEY, "s", F.xxhash64(F.slice("_hashes", F.col("s"), F.lit(CHUNK))).alias("h"))
 
 
 def _equal_first(a: Column, b: Column) -> Column:
     """How many first words of two texts are equal; 0 where one is null or empty."""
-    x, y = F.split(a, " ", -1), F.split(b, " ", -1)
-    n = F.least(F.size(x), F.size(y))
-    differ = F.array_position(F.zip_with(F.slice(x, 1, n), F.slice(y, 1, n), lambda p, q: p == q), False)
-    return F.when((a != "") & (b != ""), F.when(differ > 0, differ - 1).otherwise(n)).otherwise(0).cast("int")
+    # each text is split once; where one is longer, the shorter one's words are null
+    same = F.zip_with(F.split(a, " ", -1), F.split(b, " ", -1), lambda p, q: p.eqNullSafe(q))
+    return F.when((a != "") & (b != ""), F.array_position(F.concat(same, F.array(F.lit(False))), False) - 1).otherwise(0).cast("int")
 
 
 def _copies(docs: DataFrame) -> DataFrame:

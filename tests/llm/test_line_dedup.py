@@ -139,3 +139,36 @@ def test_agrees_with_brute_force(make):
     rows += [(200, rows[3][1]), (201, rows[3][1]), rows[5], (202, None), (203, ""), (204, shared[0]), (None, shared[0])]
     got = sorted(((r["doc_id"], r["text"]) for r in ld.dedupe_lines(make(rows)).collect()), key=str)
     assert got == sorted(left_after_dedup(rows, ld.MIN_RUN, ld.MIN_WORDS), key=str)
+
+
+def test_equal_first_words_split_each_text_once(spark):
+    from pyspark.sql import functions as F
+
+    pairs = [("a b c", "a b c"), ("a b c", "a b"), ("a b", "a b c"), ("a x c", "a b c"), ("x", "y"), ("", "a"), ("a", None), (None, None), ("a  b", "a  c"), ("a", "a ")]
+    frame = spark.createDataFrame(pairs, "a string, b string").select("a", "b", ld._equal_first(F.col("a"), F.col("b")).alias("n"))
+
+    def brute(a, b):
+        if not a or not b:
+            return 0
+        x, y = a.split(" "), b.split(" ")
+        return next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+
+    assert [(r["a"], r["b"], r["n"]) for r in frame.collect()] == [(a, b, brute(a, b)) for a, b in pairs]
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+
+
+def test_a_filter_of_keys_tells_exactly_whose_place_is_taken(spark):
+    from pyspark.sql import functions as F
+
+    from colloquy.llm import common
+
+    place = F.pmod(F.xxhash64("k"), F.lit(common.FILTER_BITS))
+    keys, rows = spark.range(0, 400_000, 2).toDF("k"), spark.range(0, 500_000).toDF("k")
+    told = common.may_match(rows, keys, ["k"])
+    taken = keys.select(place.alias("p"), F.lit(True).alias("taken")).distinct()
+    wrong = told.withColumn("p", place).join(taken, "p", "left").where(F.col("_maybe") != F.coalesce("taken", F.lit(False)))
+    assert wrong.count() == 0 and told.where("_maybe").count() >= keys.count()
+    assert not common.may_match(rows, keys.limit(0), ["k"]).where("_maybe").count()
+    # no row writes a byte as text to read it again
+    row_wise = told._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert "getbit" in row_wise and "conv(" not in row_wise
