@@ -2,8 +2,8 @@
 
 A text is a list of words; a word ends at a space, a tab or a line break, and one of over LONG_WORD
 characters, as in scripts without spaces, is taken character by character.  Boundaries are chosen by
-a rolling hash, of the words' hashes, alone: a chunk of CHUNK words begins where the hash of two words says
-so, and in every WINDOW successive places without such a one at the smallest hash.  Two equal stretches of
+the words' hashes alone: a chunk of CHUNK words begins where the hash of its first word says so, and in
+every WINDOW successive places without such a one at the smallest hash.  Two equal stretches of
 CHUNK + WINDOW - 1 words, wherever they begin and end, therefore have at least one chunk in common.
 
 Documents that are whole copies, by SHA-256, of an earlier one are told first and have no part in what follows.
@@ -37,7 +37,7 @@ ENDS, MARK = ("\n", ". "), "\x00"
 BLANKS, BLANK_END = " \n\r\t", r"(?<=[ \n\r\t])"
 #: Words of a chunk, and successive places of which one begins a chunk: 37 equal words have one in common.
 CHUNK, WINDOW = 12, 26
-#: One of so many chunks (a power of two) is kept by what its first words say.
+#: One of so many chunks (a power of two) is kept by what its first word says.
 KEPT_OF = 8
 #: Characters of a word, if it is not to be taken character by character.
 LONG_WORD = 32
@@ -53,12 +53,18 @@ PLACE_BITS = 24
 KEY = ["doc_id", "_th"]
 
 
+def _replaced(text: Column, ends: tuple[str, ...], new: Callable[[str], str]) -> Column:
+    """``text`` with ``new`` in the place of each end; to look whether there is one costs a third of a replacement that finds none."""
+    out = text
+    for end in ends:
+        out = F.when(text.contains(end), F.replace(out, F.lit(end), F.lit(new(end)))).otherwise(out)
+    return out
+
+
 def _split_behind(text: Column, ends: tuple[str, ...], pattern: str) -> Column:
     """Parts with their ends.  A mark is put behind every end, and a plain split at it is much faster than
     looking behind every character; a text that holds the mark is split by the pattern."""
-    marked = text
-    for end in ends:
-        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    marked = _replaced(text, ends, lambda end: end + MARK)
     return F.when(text.contains(MARK), F.split(text, pattern, -1)).otherwise(F.split(marked, MARK, -1))
 
 
@@ -67,19 +73,34 @@ def lines(text: Column) -> Column:
     return _split_behind(text, ENDS, LINE_END)
 
 
+def _n_lines(passage: Column) -> Column:
+    """How many ``lines`` there are, but for an empty last one."""
+
+    def count(p: Column) -> Column:
+        found = [((F.length(p) - F.length(F.replace(p, F.lit(end), F.lit("")))) / len(end)).cast("int") for end in ENDS]
+        return found[0] + found[1] + F.when((p == "") | p.endswith(ENDS[0]) | p.endswith(ENDS[1]), 0).otherwise(1)
+
+    return _let(passage, count)
+
+
 def _trim(line: Column) -> Column:
     return F.trim(line, F.lit(BLANKS))
 
 
-def _long_words_split(parts: Column) -> Column:
-    """``parts`` with every character of a long word on its own; what follows the word stays behind its last one."""
+def _any_long(parts: Column) -> Column:
+    """Whether a word may be long: bytes are counted at once; a word of few characters may have more, and stays whole all the same."""
+    return F.exists(parts, lambda p: F.octet_length(p) > LONG_WORD)
+
+
+def _long_words_split(parts: Column, then: Callable[[Column], Column] = lambda w: w) -> Column:
+    """``then`` of ``parts`` with every character of a long word on its own; what follows the word stays behind its last one."""
     def characters(p: Column) -> Column:
         n = F.length(_trim(p))
         each = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(p, i, F.when(i < n, 1).otherwise(2)))
         return F.when(n > LONG_WORD, each).otherwise(F.array(p))
 
-    # bytes are counted at once; a word of few characters may have more, and stays whole all the same
-    return _let(parts, lambda w: F.when(F.exists(w, lambda p: F.octet_length(p) > LONG_WORD), F.flatten(F.transform(w, characters))).otherwise(w))
+    # what a function of arrays returns is copied: the words themselves are not, if ``then`` makes less of them
+    return _let(parts, lambda w: F.when(_any_long(w), _let(F.flatten(F.transform(w, characters)), then)).otherwise(then(w)))
 
 
 def tokens(text: Column) -> Column:
@@ -87,15 +108,14 @@ def tokens(text: Column) -> Column:
     return _long_words_split(_split_behind(text, tuple(BLANKS), BLANK_END))
 
 
-def _spaced(text: Column) -> Column:
-    for blank in BLANKS[1:]:
-        text = F.replace(text, F.lit(blank), F.lit(" "))
-    return text
+def _plain(text: Column) -> Column:
+    """Words, long ones whole."""
+    return F.split(_replaced(text, tuple(BLANKS[1:]), lambda blank: " "), " ", -1)
 
 
 def words(text: Column) -> Column:
     """``tokens`` without what ends them."""
-    return _long_words_split(F.split(_spaced(text), " ", -1))
+    return _long_words_split(_plain(text))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -110,12 +130,11 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 def _chunk_places(hashes: Column) -> Column:
     """Places of chunks of hashed words, from 1.
 
-    A chunk is kept if its first two words say so and, where WINDOW successive ones are not, if it is the
+    A chunk is kept if its first word says so and, where WINDOW successive ones are not, if it is the
     smallest of these; the first one of equals.  Both depend on nothing outside the WINDOW.
     """
     starts = F.size(hashes) - CHUNK + 1
     # places count from 0 here
-    says_so = lambda h, i: h.bitwiseXOR(F.shiftleft(F.get(hashes, i + 1), 7)).bitwiseAND(F.lit(KEPT_OF - 1)) == 0
     # no two are equal, as the place is in the low bits
     placed = lambda h, i: F.shiftleft(F.shiftright(h, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long"))
 
@@ -132,24 +151,23 @@ def _chunk_places(hashes: Column) -> Column:
         )
         return F.concat(said, F.flatten(F.transform(_let(ends, wide), smallest)))
 
-    said = F.transform(F.slice(hashes, 1, F.greatest(starts, F.lit(0))), lambda h, i: F.when(says_so(h, i), i + 1))
-    return F.when(starts > 0, _let(F.array_compact(said), places))
-
-
-def _hashes(text: Column) -> Column:
-    """Hashes of a text's words; only a text with a long word is split once more."""
-    plain = F.split(_spaced(text), " ", -1)
-    # bytes are counted at once; they are at least as many as characters
-    short = F.transform(plain, lambda w: F.when(F.octet_length(w) <= LONG_WORD, F.xxhash64(w)))
-    return _let(short, lambda h: F.when(F.size(F.array_compact(h)) == F.size(h), h).otherwise(F.transform(words(text), lambda w: F.xxhash64(w))))
+    # every word is looked at here: one pass of few functions
+    said = F.filter(F.sequence(F.lit(1), starts), lambda s: F.element_at(hashes, s).bitwiseAND(F.lit(KEPT_OF - 1)) == 0)
+    return F.when(starts > 0, _let(said, places))
 
 
 def _chunks(keyed: DataFrame) -> DataFrame:
     """doc_id, _th, s, h of every chunk."""
-    hashed = keyed.select(*KEY, F.explode(F.array(_hashes(F.col("text")))).alias("_hashes"))
-    placed = hashed.select(*KEY, "_hashes", F.explode(F.array(_chunk_places(F.col("_hashes")))).alias("_places")).select(*KEY, "_hashes", F.explode("_places").alias("s"))
-    # behind the generators chunks are hashed by generated code, and not by functions of arrays
-    return placed.select(*KEY, "s", F.xxhash64(F.slice("_hashes", F.col("s"), F.lit(CHUNK))).alias("h"))
+    # bytes are counted at once; they are at least as many as characters, and a word of more has no hash yet
+    short = F.transform(_plain(F.col("text")), lambda w: F.when(F.octet_length(w) <= LONG_WORD, F.xxhash64(w)))
+    hashed = keyed.select(*KEY, "text", F.explode(F.array(short)).alias("_short"))
+    # false only if none is null; else the text is split once more, with long words by character
+    whole = F.array_contains("_short", F.lit(0).cast("long")).eqNullSafe(F.lit(False))
+    hashed = hashed.select(*KEY, F.explode(F.array(F.when(whole, F.col("_short")).otherwise(F.transform(words(F.col("text")), lambda w: F.xxhash64(w))))).alias("_hashes"))
+    # a row takes along its chunk's hash alone; with the hashes of its whole text a long text's rows would grow with its square
+    chunk = lambda s: F.struct(s.alias("s"), F.xxhash64(*[F.get("_hashes", s + k - 1) for k in range(CHUNK)]).alias("h"))
+    placed = hashed.select(*KEY, "_hashes", F.explode(F.array(_chunk_places(F.col("_hashes")))).alias("_places"))
+    return placed.select(*KEY, F.inline(F.transform("_places", chunk)))
 
 
 def _equal_first(a: Column, b: Column) -> Column:
@@ -210,7 +228,7 @@ def _contexts(keyed: DataFrame, repeats: DataFrame) -> DataFrame:
         )
 
     # the words of a text stay in its row: only the chunks and what stands around are copied
-    told = texts.join(wanted.hint("merge"), KEY).select(*KEY, F.explode(_let(words(F.col("text")), lambda w: F.transform("wanted", lambda x: around(w, x)))).alias("x"))
+    told = texts.join(wanted.hint("merge"), KEY).select(*KEY, F.explode(_long_words_split(_plain(F.col("text")), lambda w: F.transform("wanted", lambda x: around(w, x)))).alias("x"))
     return told.select(*KEY, "x.*")
 
 
@@ -257,17 +275,32 @@ def _cleaned(docs: DataFrame, min_run: int) -> DataFrame:
     rest = marked.where(~F.col("_maybe") | text.isNull()).select(*own, text.alias("_clean"), F.lit(0).cast("long").alias("_n_removed"))
     rows = marked.where(F.col("_maybe") & text.isNotNull()).join(runs.hint("merge"), KEY, "left")
     # what a generator makes is computed once, and not copied into every expression that reads it
-    rows = rows.select(*own, "runs", F.explode(F.array(tokens(text))).alias("_tokens"))
+    rows = rows.select(*own, "runs", F.explode(F.array(_plain(text))).alias("_plain"))
+    # where no word is long, a word has one more character behind it in the text; else, or where splitting would repair the text, its parts are joined
+    parts = lambda joined, of: F.struct(F.lit(joined).alias("_joined"), of.alias("_parts"))
+    rows = rows.select(*own, "runs", F.inline(F.array(F.when(_any_long(F.col("_plain")) | ~F.is_valid_utf8(text), parts(True, tokens(text))).otherwise(parts(False, F.col("_plain"))))))
+    rows = rows.select(*own, "runs", "_joined", "_parts", F.explode(F.array(F.when(F.col("_joined"), F.array_join("_parts", "")).otherwise(text))).alias("_text"))
+    n_parts = F.size("_parts")
+
+    def characters(s: Column, e: Column) -> Column:
+        some = F.slice("_parts", s, e - s + 1)
+        spaced = F.length(F.array_join(some, " ")) + F.when(e < n_parts, 1).otherwise(0)
+        return F.when(e < s, 0).when((s == 1) & (e == n_parts), F.length("_text")).when(F.col("_joined"), F.length(F.array_join(some, ""))).otherwise(spaced)
+
     # a run of ALL words ends where the text does
-    ended = F.transform(F.coalesce("runs", F.array().cast("array<struct<s:int,e:int>>")), lambda r: F.struct(r["s"].alias("s"), F.least(r["e"], F.size("_tokens")).alias("e")))
-    passage = lambda r: F.array_join(F.slice("_tokens", r["s"], r["e"] - r["s"] + 1), "")
-    goes = lambda r: (r["e"] - r["s"] + 1 >= MIN_WORDS) | (F.length(passage(r)) >= min_run)
-    rows = rows.select(*own, "_tokens", F.explode(F.array(F.filter(ended, goes))).alias("_runs"))
-    starts = F.concat(F.array(F.lit(1)), F.transform("_runs", lambda r: r["e"] + 1))
-    ends = F.concat(F.transform("_runs", lambda r: r["s"] - 1), F.array(F.size("_tokens")))
-    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("_tokens", a, F.greatest(b - a + 1, F.lit(0)))))
-    removed = F.aggregate("_runs", F.lit(0), lambda n, r: n + F.size(F.filter(lines(passage(r)), lambda u: u != "")))
-    made = F.struct(F.when(F.size("_runs") > 0, F.array_join(kept, "")).otherwise(text).alias("_clean"), removed.cast("long").alias("_n_removed"))
+    ended = F.transform(F.coalesce("runs", F.array().cast("array<struct<s:int,e:int>>")), lambda r: F.struct(r["s"].alias("s"), F.least(r["e"], n_parts).alias("e")))
+    goes = lambda r: (r["e"] - r["s"] + 1 >= MIN_WORDS) | (characters(r["s"], r["e"]) >= min_run)
+    rows = rows.select(*own, "_text", "_joined", "_parts", F.explode(F.array(F.filter(ended, goes))).alias("_runs"))
+    # characters that stay before each run, and of the run; then how many there are up to the end of each run
+    before = lambda i: F.coalesce(F.get("_runs", i - 1)["e"], F.lit(0))
+    pieces = F.transform("_runs", lambda r, i: F.struct(characters(before(i) + 1, r["s"] - 1).alias("stays"), characters(r["s"], r["e"]).alias("goes")))
+    rows = rows.select(*own, "_text", F.explode(F.array(pieces)).alias("_pieces"))
+    ends = F.aggregate("_pieces", F.array(F.lit(0)), lambda done, p: F.concat(done, F.array(F.element_at(done, -1) + p["stays"] + p["goes"])))
+    rows = rows.select(*own, "_text", "_pieces", F.explode(F.array(ends)).alias("_ends"))
+    stays = F.transform("_pieces", lambda p, i: F.substr("_text", F.get("_ends", i) + 1, p["stays"]))
+    last = F.substr("_text", F.element_at("_ends", -1) + 1, F.length("_text"))
+    removed = F.aggregate(F.transform("_pieces", lambda p, i: _n_lines(F.substr("_text", F.get("_ends", i) + p["stays"] + 1, p["goes"]))), F.lit(0), lambda n, k: n + k)
+    made = F.struct(F.when(F.size("_pieces") > 0, F.concat(F.array_join(stays, ""), last)).otherwise(text).alias("_clean"), removed.cast("long").alias("_n_removed"))
     rows = rows.select(*own, F.explode(F.array(made)).alias("_made")).select(*own, "_made._clean", "_made._n_removed")
     return rest.unionByName(rows)
 
